@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, chat, langid, shards, simhash, topk
+from lodestream.llm import bpe, chat, decontaminate, html_text, langid, linedup, quality, shards, simhash, topk
 from lodestream.llm.common import table
 
 
@@ -28,6 +28,21 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(own.unionByName(extra))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents into which a benchmark item leaks: doc_id, item_id, score, start_word, end_word."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the line chunks that stand in an earlier one: doc_id, text, removed_chunks, removed_lines."""
+    return linedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 8 shards whose row counts differ by one at most (law ``rows``). Null text: size 1, CRC-32 of nothing."""
     docs = table(spark, sf_dir, "documents").select(
@@ -37,6 +52,12 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document: doc_id, score, keep, text_score, meta_score."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text by the 50k ranks, encoded and decoded again."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -47,7 +68,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_chat_format, op7_shard, op9_bpe, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_chat_format, op4_decontaminate, op5_line_dedup, op6_html_extract, op7_shard, op8_quality, op9_bpe, op10_topk)}
 
 _ESCAPED = """replace(replace(replace(replace(replace(replace(replace(replace(replace({}, '\\', '\\\\'), '<|', '<\\|'), '|>', '|\\>'), '<s>', '<\\s>'), '</s>', '<\\/s>'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]'), '<<SYS>>', '<\\<SYS>>'), '<</SYS>>', '<\\</SYS>>')"""
 
