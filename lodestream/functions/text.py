@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 
 def normalize(title: Column) -> Column:
@@ -24,21 +27,21 @@ def char_grams(title: Column, n: int = 3) -> Column:
     return F.when(F.length(s) < n, F.array(s)).otherwise(grams)
 
 
-def simhash64(features: Column) -> Column:
-    """bit i is set where over half of the features' hashes (low half of their MD5) have it; a signed long."""
-    shift = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
-    places = F.sequence(F.lit(0), F.lit(63))
+@F.pandas_udf(LongType())
+def simhash64(features: pd.Series) -> pd.Series:
+    """bit i is set where over half of the features' hashes (low half of their MD5) have it; a signed long.
 
-    def of(low: Column) -> Column:
-        add = lambda acc, h: F.zip_with(acc, places, lambda c, i: c + F.getbit(h, i).cast("int"))
-        counts = F.aggregate(low, F.array_repeat(F.lit(0), 64), add)
-        bits = F.zip_with(counts, places, lambda c, i: F.when(c * 2 > F.size(low), shift(i)).otherwise(F.lit(0).cast("long")))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
+    A column expression for this folds 64 counters in boxed arrays and took half a second a row on long texts.
+    """
+
+    def one(fs: list[str] | None) -> int | None:
+        if fs is None:
+            return None
+        low = np.frombuffer(b"".join(hashlib.md5(f.encode()).digest()[8:] for f in fs), dtype=">u8").astype("<u8")
+        bits = np.unpackbits(low.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return int(np.packbits(bits * 2 > len(fs), bitorder="little").view("<i8")[0])
 
-    # a lambda's variable is worked out once, a repeated expression as often as it stands there
-    low = lambda fs: F.transform(fs, lambda f: F.conv(F.substring(F.md5(f.cast("binary")), 17, 16), 16, -10).cast("long"))
-    hashed = F.transform(F.array(features), low)
-    return F.element_at(F.transform(hashed, of), 1)
+    return features.map(one)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -55,7 +58,7 @@ def prediction_id(article_id: Column, claim: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\u0001", article_id, claim), 256), 1, 12)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def title_key(title: pd.Series) -> pd.Series:
     """NFKC, lower case, character references and all but word characters become a space; trimmed."""
     entity, other = re.compile(r"&#?\w+;"), re.compile(r"[^\w]+")
@@ -132,7 +135,7 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def balanced_json(text: pd.Series) -> pd.Series:
     """F16: the first balanced {...} that is JSON, minding strings and escapes; null if there is none."""
 

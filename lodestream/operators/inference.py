@@ -21,15 +21,15 @@ def level_shift(series: DataFrame, keys: list[str], order: str, value: str, leas
     w = Window.partitionBy(*keys).orderBy(order)
     all_ = Window.partitionBy(*keys)
     y = F.col(value).cast("double")
-    s = series.select(*keys, F.row_number().over(w).alias("k"), F.sum(y).over(w).alias("s"), F.sum(y * y).over(w).alias("q"), F.count("*").over(all_).alias("n"), F.sum(y).over(all_).alias("ts"), F.sum(y * y).over(all_).alias("tq"))
-    k, n = F.col("k"), F.col("n")
-    sse = (F.col("q") - F.col("s") ** 2 / k) + ((F.col("tq") - F.col("q")) - (F.col("ts") - F.col("s")) ** 2 / (n - k))
-    splits = s.where((k >= least) & (n - k >= least)).withColumn("sse", F.round(sse, 9))
-    best = splits.groupBy(*keys).agg(F.min(F.struct("sse", "k", "s", "n", "ts", "tq")).alias("b"))
-    b = lambda c: F.col(f"b.{c}")
-    total = b("tq") - b("ts") ** 2 / b("n")
-    shift = (b("ts") - b("s")) / (b("n") - b("k")) - b("s") / b("k")
-    return best.select(*keys, b("k").alias("index"), shift.alias("shift"), F.when(total > 1e-12, 1 - b("sse") / total).otherwise(0.0).alias("sse_reduction"))
+    s = series.select(*keys, F.row_number().over(w).alias("__k"), F.sum(y).over(w).alias("__s"), F.sum(y * y).over(w).alias("__q"), F.count("*").over(all_).alias("__n"), F.sum(y).over(all_).alias("__ts"), F.sum(y * y).over(all_).alias("__tq"))
+    k, n = F.col("__k"), F.col("__n")
+    sse = (F.col("__q") - F.col("__s") ** 2 / k) + ((F.col("__tq") - F.col("__q")) - (F.col("__ts") - F.col("__s")) ** 2 / (n - k))
+    splits = s.where((k >= least) & (n - k >= least)).withColumn("__sse", F.round(sse, 9))
+    best = splits.groupBy(*keys).agg(F.min(F.struct("__sse", "__k", "__s", "__n", "__ts", "__tq")).alias("__b"))
+    b = lambda c: F.col(f"__b.{c}")
+    total = b("__tq") - b("__ts") ** 2 / b("__n")
+    shift = (b("__ts") - b("__s")) / (b("__n") - b("__k")) - b("__s") / b("__k")
+    return best.select(*keys, b("__k").alias("index"), shift.alias("shift"), F.when(total > 1e-12, 1 - b("__sse") / total).otherwise(0.0).alias("sse_reduction"))
 
 
 def burst_days(series: DataFrame, keys: list[str], value: str, z: float = 2.0) -> DataFrame:
@@ -39,6 +39,11 @@ def burst_days(series: DataFrame, keys: list[str], value: str, z: float = 2.0) -
     return series.withColumn("__m", m).withColumn("__s", sd).where((F.col("__s") > 1e-12) & (F.col(value) > F.col("__m") + z * F.col("__s"))).drop("__m", "__s")
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's, null where a series is constant (corr() itself fails there under ANSI rules)."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def take_offs(shifts: DataFrame, active_days: Column, least_days: int = 8, reduction: float = 0.3) -> DataFrame:
     """M3: entities whose level rose clearly, with enough active days."""
     return shifts.where((F.col("shift") > 0) & (F.col("sse_reduction") >= reduction) & (active_days >= least_days))
@@ -49,7 +54,7 @@ def lag_correlation(pairs: DataFrame, keys: list[str], x: str, y: str, most: int
     lags = pairs.select(*keys, F.col("t"), F.col(x).cast("double").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(most))).alias("lag"))
     later = pairs.select(*keys, F.col("t").alias("u"), F.col(y).cast("double").alias("y"))
     joined = lags.withColumn("u", F.col("t") + F.col("lag")).join(later, [*keys, "u"])
-    r = joined.groupBy(*keys, "lag").agg(F.when((F.stddev_pop("x") > 1e-12) & (F.stddev_pop("y") > 1e-12), F.corr("x", "y")).alias("r")).where("r IS NOT NULL")
+    r = joined.groupBy(*keys, "lag").agg(F.when((F.stddev_pop("x") > 1e-12) & (F.stddev_pop("y") > 1e-12), correlation("x", "y")).alias("r")).where("r IS NOT NULL")
     return r.groupBy(*keys).agg(F.max(F.struct(F.round("r", 9).alias("r"), (-F.col("lag")).alias("l"))).alias("b")).select(*keys, (-F.col("b.l")).alias("lag"), F.col("b.r").alias("corr"))
 
 
@@ -119,7 +124,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation; null under three points or for a constant series."""
     r = average_ranks(average_ranks(df, keys, x, "__a"), keys, y, "__b")
     ok = (F.count("*") >= 3) & (F.stddev_pop("__a") > 0) & (F.stddev_pop("__b") > 0)
-    return r.groupBy(*keys).agg(F.when(ok, F.corr("__a", "__b")).alias("rho"), F.count("*").alias("n"))
+    return r.groupBy(*keys).agg(F.when(ok, correlation("__a", "__b")).alias("rho"), F.count("*").alias("n"))
 
 
 def calibrate_threshold(scored: DataFrame, score: str, truth: str, recall: float = 0.9) -> DataFrame:

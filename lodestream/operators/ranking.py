@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def rank_score(importance: Column, published: Column, cluster_size: Column, as_of: Column) -> Column:
@@ -34,7 +35,7 @@ def greedy_top(df: DataFrame, order: list[Column], keys: list[str], k: int = 5)
                 left = left.where(F.col(c).isNull() | (F.col(c) != F.lit(value)))
         if all(rows[0][c] in (None, "") for c in keys):
             raise ValueError("a row without any key can't be told from itself")
-    schema = df.schema.add("rank", "int")
+    schema = StructType([*df.schema.fields, StructField("rank", IntegerType())])
     return df.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(taken, 1)], schema)
 
 

@@ -70,7 +70,7 @@ def m6_nb_trends(spark: SparkSession, sf: str) -> DataFrame:
 def m7_validation(spark: SparkSession, sf: str) -> DataFrame:
     """M7: variation and agreement of two series of a key."""
     d = ts_user_days(spark, sf)
-    g = d.groupBy("user_id").agg(F.round(F.stddev_samp("a") / F.nullif(F.avg("a"), F.lit(0)), 6).alias("cv_a"), F.round(F.corr("a", "b"), 6).alias("pearson"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"))
+    g = d.groupBy("user_id").agg(F.round(F.stddev_samp("a") / F.nullif(F.avg("a"), F.lit(0)), 6).alias("cv_a"), F.round(inf.correlation("a", "b"), 6).alias("pearson"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"))
     return g.where("sa > 0 AND sb > 0").drop("sa", "sb")
 
 
