@@ -115,14 +115,14 @@ def without(text: str, gone: list[dict]) -> tuple[str, int, int]:
 def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with its texts cut, and ``removed_chunks`` and ``removed_lines`` (replaced if ``df`` has them)."""
     own = df.drop("removed_chunks", "removed_lines")
-    gone = removals(own, id_col, text_col).withColumnRenamed("id", "__id")
+    gone = removals(own, id_col, text_col).withColumnsRenamed({"id": "__id", "gone": "__gone"})
     joined = own.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
     kinds = dict(own.dtypes)
 
     def rows(c: dict) -> dict:
         out = {k: c[k] for k in own_columns}
         texts, n_chunks, n_lines = [], [], []
-        for text, g in zip(c[text_col], c["gone"], strict=True):
+        for text, g in zip(c[text_col], c["__gone"], strict=True):
             t, x, y = without(text, g) if text and g else (text, 0, 0)
             texts.append(t)
             n_chunks.append(x)

@@ -66,7 +66,7 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.n
 
 def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 0, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard)."""
-    spark, own_columns = df.sparkSession, [c for c in df.columns if c not in _ADDED]
+    spark, own_columns = df.sparkSession, [c for c in df.columns if c.lower() not in _ADDED]
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     placed = cut(df.select(*own_columns, F.spark_partition_id().alias("__p"), place.alias("__i")), "shard-places")
     counts = {r["__p"]: r["n"] for r in placed.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # a row for each partition
