@@ -2,9 +2,15 @@
 
 A text is its lines. A rolling hash over the hashes of the last WINDOW lines decides whether a chunk ends after a
 line, so that the borders depend on what stands there and not on what was inserted before; a line of LONG_WORDS words
-or more is a chunk of its own. A chunk may be removed if it is such a line, or has two lines with words and MIN_WORDS
-words. Equal chunks are found by grouping on their bytes: the hash only shortens the keys of later joins, and where
-one hash stands for different bytes nothing is removed. Of equal chunks the first one of the least id stays.
+or more is a chunk of its own. Equal chunks are found by grouping on their bytes: the hash only shortens the keys of
+later joins, and where one hash stands for different bytes nothing is removed. Of equal chunks the first one, by id
+and place, is the keeper.
+
+The borders of a passage's first and last chunk depend on the text around it. So a repeated chunk grows over the
+lines before and after it as far as they equal those beside its keeper, CONTEXT lines at most (by 64-bit hashes of
+lines that stand beside equal bytes); chunks within the passage overlap in this. What has grown together goes if it
+is two lines with words and MIN_WORDS words, or LONG_WORDS words. Each line that goes has an equal one at an
+earlier place, so one copy of everything stays.
 
 Hot chunks are summed before their shuffle; the join from a hash to its occurrences can be split by Spark.
 
@@ -21,95 +27,129 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.common import arrow_map
 
-#: Lines under the rolling hash; a chunk ends where it is a multiple of this, after LEAST_LINES lines at least.
-WINDOW, DIVISOR, LEAST_LINES = 2, 2, 2
-LONG_WORDS, MIN_WORDS = 20, 10
+#: Lines under the rolling hash; a chunk ends where it is a multiple of this.
+WINDOW, DIVISOR = 2, 2
+#: Words of a line that is a chunk of its own, of what goes, and of a chunk that is compared at all.
+LONG_WORDS, MIN_WORDS, CHUNK_WORDS = 20, 10, 5
+CONTEXT = 3
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
-def chunks(text: str) -> list[tuple[int, int, bool]]:
-    """(first line, line after the last, may be removed) of each chunk."""
-    lines = text.split("\n")
-    hashes = [xxhash.xxh3_64_intdigest(x.encode()) for x in lines]
-    words = [len(x.split()) for x in lines]
-    out, start, power = [], 0, pow(_BASE, WINDOW, 1 << 64)
-    rolling = 0
-    for i, h in enumerate(hashes):
-        # polynomial in the last WINDOW hashes: the newest comes in, the oldest goes out
-        gone = hashes[i - WINDOW] if i >= WINDOW else 0
-        rolling = (rolling * _BASE + h - gone * power) & _MASK
-        if words[i] >= LONG_WORDS:
-            if start < i:
-                out.append((start, i, _fit(words, start, i)))
-            out.append((i, i + 1, True))
-            start = i + 1
-        elif i + 1 - start >= LEAST_LINES and (rolling >> 32) % DIVISOR == 0:
-            out.append((start, i + 1, _fit(words, start, i + 1)))
-            start = i + 1
-    if start < len(lines):
-        out.append((start, len(lines), _fit(words, start, len(lines))))
-    return out
-
-
-def _fit(words: list[int], start: int, end: int) -> bool:
-    own = words[start:end]
-    return sum(own) >= MIN_WORDS and sum(w > 0 for w in own) >= 2
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+class Lines:
+    """A text's lines with their hashes and numbers of words."""
+
+    def __init__(self, text: str) -> None:
+        self.lines = text.split("\n")
+        self.hashes = [xxhash.xxh3_64_intdigest(x.encode()) for x in self.lines]
+        self.words = [len(x.split()) for x in self.lines]
+
+    def chunks(self) -> list[tuple[int, int]]:
+        """(first line, line after the last) of each chunk, in order and without gaps."""
+        out, start, rolling, power = [], 0, 0, pow(_BASE, WINDOW, 1 << 64)
+        for i, h in enumerate(self.hashes):
+            # polynomial in the last WINDOW hashes: the newest comes in, the oldest goes out
+            gone = self.hashes[i - WINDOW] if i >= WINDOW else 0
+            rolling = (rolling * _BASE + h - gone * power) & _MASK
+            if self.words[i] >= LONG_WORDS:
+                if start < i:
+                    out.append((start, i))
+                out.append((i, i + 1))
+                start = i + 1
+            elif (rolling >> 32) % DIVISOR == 0:
+                out.append((start, i + 1))
+                start = i + 1
+        if start < len(self.lines):
+            out.append((start, len(self.lines)))
+        return out
+
+    def compared(self) -> list[tuple[int, int]]:
+        return [(a, b) for a, b in self.chunks() if sum(self.words[a:b]) >= CHUNK_WORDS]
+
+    def before(self, a: int) -> list[int]:
+        """Hashes of the lines before ``a``, the nearest first."""
+        return [_signed(h) for h in self.hashes[max(0, a - CONTEXT) : a][::-1]]
+
+    def after(self, b: int) -> list[int]:
+        return [_signed(h) for h in self.hashes[b : b + CONTEXT]]
+
+    def goes(self, a: int, b: int) -> bool:
+        own = self.words[a:b]
+        return sum(own) >= LONG_WORDS or sum(own) >= MIN_WORDS and sum(w > 0 for w in own) >= 2
 
 
 def _key(chunk: str) -> tuple[int, int]:
     h = xxhash.xxh3_128_intdigest(chunk.encode())
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return signed(h >> 64), signed(h & _MASK)
+    return _signed(h >> 64), _signed(h & _MASK)
 
 
-def chunk_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, start, h1, h2, chunk) of the chunks that may be removed."""
+def chunk_rows(df: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    """(id, start, h1, h2) of the chunks that are compared; if ``whole`` also (before, after, chunk)."""
+    names = ["id", "start", "h1", "h2", *(["before", "after", "chunk"] if whole else [])]
 
     def rows(c: dict) -> dict:
-        out: dict[str, list] = {"id": [], "start": [], "h1": [], "h2": [], "chunk": []}
+        out: dict[str, list] = {n: [] for n in names}
         for i, text in zip(c["id"], c["text"], strict=True):
             if not text:
                 continue
-            lines = text.split("\n")
-            for a, b, fit in chunks(text):
-                if fit:
-                    chunk = "\n".join(lines[a:b])
-                    h1, h2 = _key(chunk)
-                    for name, value in zip(out, (i, a, h1, h2, chunk), strict=True):
-                        out[name].append(value)
+            own = Lines(text)
+            for a, b in own.compared():
+                chunk = "\n".join(own.lines[a:b])
+                values = (i, a, *_key(chunk), *((own.before(a), own.after(b), chunk) if whole else ()))
+                for name, value in zip(names, values, strict=True):
+                    out[name].append(value)
         return out
 
-    return arrow_map(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rows, "id bigint, start int, h1 bigint, h2 bigint, chunk string")
+    schema = "id bigint, start int, h1 bigint, h2 bigint" + (", before array<bigint>, after array<bigint>, chunk string" if whole else "")
+    return arrow_map(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rows, schema)
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, gone): for each document that loses chunks, their (start, h1, h2, whether it keeps the first of them)."""
-    found = chunk_rows(df, id_col, text_col)
+    """(id, gone): of each document the places of its repeated chunks that aren't keepers, and what stands beside the keepers."""
     last = F.lit((1 << 63) - 1)
+    found = chunk_rows(df, id_col, text_col, True)
+    first = F.min(F.struct(F.coalesce("id", last).alias("id"), "start", "before", "after")).alias("k")
     # grouped by the bytes themselves, with the hash in front
-    same = found.groupBy("h1", "h2", "chunk").agg(F.count("*").alias("n"), F.min(F.coalesce("id", last)).alias("keeper"))
-    once = same.groupBy("h1", "h2").agg(F.count("*").alias("variants"), F.sum("n").alias("n"), F.min("keeper").alias("keeper")).where("variants = 1 AND n > 1")
+    same = found.groupBy("h1", "h2", "chunk").agg(F.count("*").alias("n"), first).drop("chunk")
+    once = same.groupBy("h1", "h2").agg(F.count("*").alias("variants"), F.sum("n").alias("n"), F.min("k").alias("k")).where("variants = 1 AND n > 1")
     # the occurrences are read anew, without their bytes
-    where = found.select("id", "start", "h1", "h2").distinct()
-    hits = where.join(once.select("h1", "h2", "keeper"), ["h1", "h2"])
-    gone = F.struct("start", "h1", "h2", (F.coalesce("id", last) == F.col("keeper")).alias("first_stays"))
-    return hits.groupBy("id").agg(F.collect_list(gone).alias("gone"))
+    hits = chunk_rows(df, id_col, text_col, False).join(once.select("h1", "h2", "k"), ["h1", "h2"])
+    hits = hits.where((F.coalesce("id", last) != F.col("k.id")) | (F.col("start") != F.col("k.start")))
+    return hits.groupBy("id").agg(F.collect_set(F.struct("start", "h1", "h2", F.col("k.before").alias("before"), F.col("k.after").alias("after"))).alias("gone"))
 
 
 def without(text: str, gone: list[dict]) -> tuple[str, int, int]:
-    """The text without its repeated chunks, and how many chunks and lines went."""
-    by_start = {(g["start"], g["h1"], g["h2"]): g["first_stays"] for g in gone}
-    lines, kept, seen, n_chunks, n_lines = text.split("\n"), [], set(), 0, 0
-    for a, b, fit in chunks(text):
-        if fit:
-            key = _key("\n".join(lines[a:b]))
-            stays = by_start.get((a, *key))
-            if stays is not None and (not stays or key in seen):
-                n_chunks, n_lines = n_chunks + 1, n_lines + b - a
-                continue
-            seen.add(key)
-        kept += lines[a:b]
-    return "\n".join(kept), n_chunks, n_lines
+    """The text without what repeats, and how many stretches and lines went."""
+    own, places = Lines(text), {(g["start"], g["h1"], g["h2"]): g for g in gone}
+    marked = [False] * len(own.lines)
+    for a, b in own.compared():
+        g = places.get((a, *_key("\n".join(own.lines[a:b]))))
+        if g is None:
+            continue
+        low, high = a, b
+        for mine, kept in zip(own.before(a), g["before"], strict=False):
+            if mine != kept:
+                break
+            low -= 1
+        for mine, kept in zip(own.after(b), g["after"], strict=False):
+            if mine != kept:
+                break
+            high += 1
+        marked[low:high] = [True] * (high - low)
+    kept, stretches, n_lines, i = [], 0, 0, 0
+    while i < len(marked):
+        j = i
+        while j < len(marked) and marked[j] == marked[i]:
+            j += 1
+        if marked[i] and own.goes(i, j):
+            stretches, n_lines = stretches + 1, n_lines + j - i
+        else:
+            kept += own.lines[i:j]
+        i = j
+    return "\n".join(kept), stretches, n_lines
 
 
 def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,7 +157,7 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = df.drop("removed_chunks", "removed_lines")
     gone = removals(own, id_col, text_col).withColumnsRenamed({"id": "__id", "gone": "__gone"})
     joined = own.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
-    kinds = dict(own.dtypes)
+    kinds, own_columns = dict(own.dtypes), own.columns
 
     def rows(c: dict) -> dict:
         out = {k: c[k] for k in own_columns}
@@ -129,5 +169,4 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             n_lines.append(y)
         return out | {text_col: texts, "removed_chunks": n_chunks, "removed_lines": n_lines}
 
-    own_columns = own.columns
     return arrow_map(joined, rows, ", ".join(f"`{k}` {kinds[k]}" for k in own_columns) + ", removed_chunks int, removed_lines int")

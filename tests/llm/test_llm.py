@@ -251,22 +251,39 @@ def test_decontamination_on_odd_rows(spark) -> None:
 
 
 def plain_line_dedup(rows: list[tuple]) -> list:
-    """Chunks by the operator's own borders; which go is worked out plainly."""
-    seen: dict[str, list] = {}
-    for i, (doc, text) in enumerate(rows):
-        for a, b, fit in linedup.chunks(text) if text else []:
-            if fit:
-                seen.setdefault("\n".join(text.split("\n")[a:b]), []).append((doc, a, i))
+    """Chunks by the operator's own borders; which lines go is worked out plainly, over all texts at once."""
+    texts = {i: t.split("\n") for i, t in rows if t is not None}
+    chunks = {i: linedup.Lines("\n".join(ls)).compared() for i, ls in texts.items() if ls != [""]}
+    places: dict[str, list] = {}
+    for i in chunks:
+        for a, b in chunks[i]:
+            places.setdefault("\n".join(texts[i][a:b]), []).append((i, a))
     out = []
-    for i, (doc, text) in enumerate(rows):
+    for i, text in rows:
         if text is None:
             out.append(None)
             continue
-        kept = []
-        for a, b, fit in linedup.chunks(text):
-            chunk = "\n".join(text.split("\n")[a:b])
-            if not fit or len(seen[chunk]) == 1 or min(seen[chunk])[:2] == (doc, a):
-                kept += text.split("\n")[a:b]
+        ls, marked = texts[i], set()
+        for a, b in chunks.get(i, []):
+            k, at = min(places["\n".join(ls[a:b])])
+            if (k, at) != (i, a):
+                marked |= set(range(a, b))
+                for step, near, far in ((-1, a - 1, at - 1), (1, b, at + b - a)):
+                    for n in range(linedup.CONTEXT):
+                        x, y = near + step * n, far + step * n
+                        if not (0 <= x < len(ls) and 0 <= y < len(texts[k])) or ls[x] != texts[k][y]:
+                            break
+                        marked.add(x)
+        kept, run = [], []
+        for n, line in enumerate([*ls, None]):
+            if line is not None and n in marked:
+                run.append(line)
+                continue
+            words = [len(x.split()) for x in run]
+            if not (sum(words) >= linedup.LONG_WORDS or sum(words) >= linedup.MIN_WORDS and sum(w > 0 for w in words) >= 2):
+                kept += run
+            run = []
+            kept += [line] if line is not None else []
         out.append("\n".join(kept))
     return out
 
@@ -291,7 +308,7 @@ def test_line_dedup_keeps_one_copy_and_other_columns(spark) -> None:
 def test_chunk_borders_follow_content() -> None:
     rng = random.Random(4)
     lines = [" ".join(rng.choices(EN.split(), k=8)) + str(i) for i in range(200)]
-    cuts = lambda ls: {"\n".join(ls[a:b]) for a, b, _ in linedup.chunks("\n".join(ls))}
+    cuts = lambda ls: {"\n".join(ls[a:b]) for a, b in linedup.Lines("\n".join(ls)).chunks()}
     a, b = cuts(lines), cuts(["new line", *lines[:90], "another", *lines[90:]])
     assert len(a & b) > 0.9 * len(a)
 
