@@ -419,3 +419,85 @@ def a58_honesty_flag(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT source_id, count(*) AS articles, count(DISTINCT day) AS days, min(day) AS first_day, max(day) AS last_day FROM articles GROUP BY source_id")
 def a59_source_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return articles(spark, sf).groupBy("source_id").agg(F.count("*").alias("articles"), F.count_distinct("day").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
+# --- what the other rows of the inventory read ---------------------------------------------------------------------
+
+
+@query(
+    """WITH m AS (SELECT cluster_id, id, source_id, category, day FROM articles), c AS (SELECT cluster_id, count(*) AS members, (max(day) - min(day) + 1)::INT AS span, count(DISTINCT source_id) AS outlets, count(DISTINCT category) AS categories FROM m GROUP BY cluster_id),
+g AS (SELECT cluster_id, (day - lag(day) OVER (PARTITION BY cluster_id ORDER BY day, id))::INT AS gap FROM m), k AS (SELECT cluster_id, count(*) FILTER (gap <= 7) AS near, count(*) FILTER (gap > 7 AND gap <= 30) AS mid, count(*) FILTER (gap > 30) AS far FROM g GROUP BY cluster_id)
+SELECT cluster_id, members, span, outlets, categories, near, mid, far FROM c JOIN k USING (cluster_id)"""
+)
+def a15_merge_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Members, span, outlets and categories of each cluster, and the gaps between its members by bucket."""
+    from pyspark.sql import Window
+
+    a = articles(spark, sf)
+    gap = F.datediff("day", F.lag("day").over(Window.partitionBy("cluster_id").orderBy("day", "id")))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    g = F.col("gap")
+    return a.withColumn("gap", gap).groupBy("cluster_id").agg(
+        F.count("*").alias("members"),
+        (F.datediff(F.max("day"), F.min("day")) + 1).alias("span"),
+        F.count_distinct("source_id").alias("outlets"),
+        F.count_distinct("category").alias("categories"),
+        n(g <= 7).alias("near"),
+        n((g > 7) & (g <= 30)).alias("mid"),
+        n(g > 30).alias("far"),
+    )
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT entity, strftime(day, '%Y-%m') AS month FROM mentions), b AS (SELECT m.entity, count(DISTINCT m.cluster_id) AS breadth, count(*) AS depth FROM mentions m GROUP BY m.entity) SELECT entity, breadth, depth, round(depth / breadth, 6) AS per_cluster, (SELECT count(*) FROM d WHERE d.entity = b.entity) AS months FROM b"""
+)
+def a39_breadth_depth(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters and mentions of each concept, and the months it was seen in."""
+    g = mentions(spark, sf).groupBy("entity").agg(F.count_distinct("cluster_id").alias("breadth"), F.count("*").alias("depth"), F.count_distinct(F.date_format("day", "yyyy-MM")).alias("months"))
+    return g.withColumn("per_cluster", F.round(F.col("depth") / F.col("breadth"), 6))
+
+
+@query("SELECT o_orderstatus AS phase, o_orderpriority AS reason, count(*) AS n, count(DISTINCT o_custkey) AS keys FROM orders GROUP BY ALL")
+def a52_completeness(spark: SparkSession, sf: str) -> DataFrame:
+    """What was skipped, by phase and reason."""
+    return table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("phase"), F.col("o_orderpriority").alias("reason")).agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("keys"))
+
+
+@query("SELECT x.t AS tag, count(*) AS n FROM articles, unnest(tags) AS x(t) GROUP BY ALL ORDER BY n DESC, tag LIMIT 16")
+def a53_top_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """A53, P14."""
+    return articles(spark, sf).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "tag").limit(16)
+
+
+@query("WITH w AS (SELECT date_trunc('week', day)::DATE AS run, count(*) AS mentions FROM mentions GROUP BY ALL), b AS (SELECT arg_min(mentions, run) AS baseline FROM w) SELECT run, mentions, baseline FROM w, b ORDER BY run DESC LIMIT 50")
+def a60_run_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The last 50 runs with the baseline that the first one froze."""
+    w = mentions(spark, sf).groupBy(F.to_date(F.date_trunc("week", "day")).alias("run")).agg(F.count("*").alias("mentions"))
+    return w.crossJoin(F.broadcast(w.agg(F.min_by("mentions", "run").alias("baseline")))).orderBy(F.col("run").desc()).limit(50)
+
+
+@query(
+    """WITH g AS (SELECT d.day, e.entity FROM (SELECT DISTINCT ts::DATE AS day FROM events) d CROSS JOIN (SELECT DISTINCT entity FROM daily_events) e), c AS (SELECT day, entity, count(*) FILTER (value >= 10) AS title, count(*) FILTER (value < 10) AS body FROM daily_events GROUP BY ALL),
+x AS (SELECT day, count(*) AS exposure FROM daily_events GROUP BY day) SELECT g.day, g.entity, coalesce(title, 0) AS title, coalesce(body, 0) AS body, exposure FROM g LEFT JOIN c ON c.day = g.day AND c.entity = g.entity LEFT JOIN x ON x.day = g.day"""
+)
+def j6_exposure_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """Concept x day panel with pivoted counts and exposure, zero-filled."""
+    e = daily_events(spark, sf)
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    counts = e.groupBy("day", "entity").agg(n(F.col("value") >= 10).alias("title"), n(F.col("value") < 10).alias("body"))
+    days = e.groupBy("day").agg(F.count("*").alias("exposure"))  # a row for each day
+    return e.select("entity").distinct().crossJoin(F.broadcast(days)).join(counts, ["day", "entity"], "left").fillna(0)
+
+
+@query("SELECT cluster_id, list_sort(list_distinct(flatten(list(list_concat([source_id], also_covered_by))))) AS outlets FROM articles GROUP BY cluster_id")
+def u1_outlets(spark: SparkSession, sf: str) -> DataFrame:
+    """The outlets of each cluster, in order."""
+    rows = articles(spark, sf).select("cluster_id", F.explode(F.array_union(F.array("source_id"), "also_covered_by")).alias("o")).groupBy("cluster_id")
+    return rows.agg(F.array_sort(F.collect_set("o")).alias("outlets"))
+
+
+@query("SELECT entity FROM (SELECT DISTINCT entity, entity_type FROM mentions WHERE year(day) = 1995 AND month(day) = 3 EXCEPT SELECT DISTINCT entity, entity_type FROM mentions WHERE year(day) = 1995 AND month(day) = 4)")
+def u3_gone_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """In one snapshot, not in the next."""
+    month = lambda m: mentions(spark, sf).where((F.year("day") == 1995) & (F.month("day") == m)).select("entity", "entity_type").distinct()
+    return month(3).join(month(4), ["entity", "entity_type"], "left_anti").select("entity")

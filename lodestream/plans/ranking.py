@@ -56,7 +56,7 @@ def t4_representative(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """WITH h AS (SELECT id, (contains(lower(title), 'red'))::INT + (contains(lower(title), 'widget'))::INT AS h, row_number() OVER (ORDER BY published DESC, id) - 1 AS i FROM articles)
-SELECT id, round(h - i * 0.001, 6) AS score FROM h WHERE h > 0 ORDER BY score DESC, i LIMIT 12"""
+SELECT id, round(h - i * 0.001::DOUBLE, 6) AS score FROM h WHERE h > 0 ORDER BY score DESC, i LIMIT 12"""
 )
 def t6_evidence(spark: SparkSession, sf: str) -> DataFrame:
     a = articles(spark, sf)
