@@ -12,6 +12,8 @@ lines that stand beside equal bytes); chunks within the passage overlap in this.
 is two lines with words and MIN_WORDS words, or LONG_WORDS words. Each line that goes has an equal one at an
 earlier place, so one copy of everything stays.
 
+Bytes are only shuffled where a chunk may repeat: hashes that occur twice set bits of a bitmap of bounded size, which
+goes to the tasks. Other chunks that meet a set bit, more of them the larger the corpus, come along and change nothing.
 Hot chunks are summed before their shuffle; the join from a hash to its occurrences can be split by Spark.
 
 Defined results: null text stays null; a text that loses all lines becomes empty; rows of one id are one document
@@ -21,17 +23,22 @@ other columns are untouched.
 
 from __future__ import annotations
 
+import numpy as np
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.llm.common import arrow_map
+from lodestream.session import cut
 
 #: Lines under the rolling hash; a chunk ends where it is a multiple of this.
 WINDOW, DIVISOR = 2, 2
 #: Words of a line that is a chunk of its own, of what goes, and of a chunk that is compared at all.
 LONG_WORDS, MIN_WORDS, CHUNK_WORDS = 20, 10, 5
 CONTEXT = 3
+#: Bits of the bitmap for each hash that repeats, and of the bitmap at most (32 MB).
+BITS_EACH, MOST_BITS = 16, 1 << 28
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -86,9 +93,9 @@ def _key(chunk: str) -> tuple[int, int]:
     return _signed(h >> 64), _signed(h & _MASK)
 
 
-def chunk_rows(df: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
-    """(id, start, h1, h2) of the chunks that are compared; if ``whole`` also (before, after, chunk)."""
-    names = ["id", "start", "h1", "h2", *(["before", "after", "chunk"] if whole else [])]
+def chunk_rows(df: DataFrame, id_col: str, text_col: str, may_repeat: Broadcast | None) -> DataFrame:
+    """(h1) of the chunks that are compared; or (id, start, h1, h2, before, after, chunk) of those that may repeat."""
+    names = ["h1"] if may_repeat is None else ["id", "start", "h1", "h2", "before", "after", "chunk"]
 
     def rows(c: dict) -> dict:
         out: dict[str, list] = {n: [] for n in names}
@@ -98,25 +105,44 @@ def chunk_rows(df: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFr
             own = Lines(text)
             for a, b in own.compared():
                 chunk = "\n".join(own.lines[a:b])
-                values = (i, a, *_key(chunk), *((own.before(a), own.after(b), chunk) if whole else ()))
-                for name, value in zip(names, values, strict=True):
+                h1, h2 = _key(chunk)
+                if may_repeat is None:
+                    out["h1"].append(h1)
+                    continue
+                bit = h1 & (64 * len(may_repeat.value) - 1)
+                if not int(may_repeat.value[bit >> 6]) >> (bit & 63) & 1:
+                    continue
+                for name, value in zip(names, (i, a, h1, h2, own.before(a), own.after(b), chunk), strict=True):
                     out[name].append(value)
         return out
 
-    schema = "id bigint, start int, h1 bigint, h2 bigint" + (", before array<bigint>, after array<bigint>, chunk string" if whole else "")
+    schema = "h1 bigint" if may_repeat is None else "id bigint, start int, h1 bigint, h2 bigint, before array<bigint>, after array<bigint>, chunk string"
     return arrow_map(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rows, schema)
 
 
+def repeat_bitmap(df: DataFrame, id_col: str, text_col: str) -> Broadcast:
+    """A bitmap, as 64-bit words, with a bit for the low bits of each hash that occurs twice."""
+    twice = cut(chunk_rows(df, id_col, text_col, None).groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "line-repeats")
+    bits = 64
+    while bits < min(MOST_BITS, BITS_EACH * twice.count()):
+        bits *= 2
+    bit = F.col("h1").bitwiseAND(bits - 1)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))
+    words = twice.groupBy(F.call_function("shiftright", bit, F.lit(6)).alias("w")).agg(F.bit_or(one).alias("v")).toPandas()  # MOST_BITS / 64 rows at most
+    bitmap = np.zeros(bits // 64, dtype=np.uint64)
+    bitmap[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).view(np.uint64)
+    return df.sparkSession.sparkContext.broadcast(bitmap)
+
+
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, gone): of each document the places of its repeated chunks that aren't keepers, and what stands beside the keepers."""
     last = F.lit((1 << 63) - 1)
-    found = chunk_rows(df, id_col, text_col, True)
+    found = cut(chunk_rows(df, id_col, text_col, repeat_bitmap(df, id_col, text_col)), "line-chunks")
     first = F.min(F.struct(F.coalesce("id", last).alias("id"), "start", "before", "after")).alias("k")
     # grouped by the bytes themselves, with the hash in front
     same = found.groupBy("h1", "h2", "chunk").agg(F.count("*").alias("n"), first).drop("chunk")
     once = same.groupBy("h1", "h2").agg(F.count("*").alias("variants"), F.sum("n").alias("n"), F.min("k").alias("k")).where("variants = 1 AND n > 1")
-    # the occurrences are read anew, without their bytes
-    hits = chunk_rows(df, id_col, text_col, False).join(once.select("h1", "h2", "k"), ["h1", "h2"])
+    hits = found.select("id", "start", "h1", "h2").join(once.select("h1", "h2", "k"), ["h1", "h2"])
     hits = hits.where((F.coalesce("id", last) != F.col("k.id")) | (F.col("start") != F.col("k.start")))
     return hits.groupBy("id").agg(F.collect_set(F.struct("start", "h1", "h2", F.col("k.before").alias("before"), F.col("k.after").alias("after"))).alias("gone"))
 
