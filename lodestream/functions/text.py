@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -20,11 +21,25 @@ def normalize(title: Column) -> Column:
     return F.trim(F.regexp_replace(kept, r"\s+", " "))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: inside a lambda an expression is worked out anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def char_grams(title: Column, n: int = 3) -> Column:
     """character n-grams of the normalised title without spaces; a shorter one is its own single feature."""
-    s = F.replace(normalize(title), F.lit(" "), F.lit(""))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(n)))
-    return F.when(F.length(s) < n, F.array(s)).otherwise(grams)
+
+    def grams(s: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(n)))
+        return F.when(F.length(s) < n, F.array(s)).otherwise(each)
+
+    return bound(F.replace(normalize(title), F.lit(" "), F.lit("")), grams)
+
+
+def _majority(features: list[str]) -> int:
+    low = np.frombuffer(b"".join(hashlib.md5(f.encode()).digest()[8:] for f in features), dtype=">u8").astype("<u8")
+    bits = np.unpackbits(low.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > len(features), bitorder="little").view("<i8")[0])
 
 
 @F.pandas_udf(LongType())
@@ -33,15 +48,17 @@ def simhash64(features: pd.Series) -> pd.Series:
 
     A column expression for this folds 64 counters in boxed arrays and took half a second a row on long texts.
     """
+    return features.map(lambda fs: None if fs is None else _majority(list(fs)))
+
+
+@F.pandas_udf(LongType())
+def _gram_simhash(bare: pd.Series) -> pd.Series:
+    return bare.map(lambda s: None if s is None else _majority([s[i : i + 3] for i in range(max(1, len(s) - 2))]))
 
-    def one(fs: list[str] | None) -> int | None:
-        if fs is None:
-            return None
-        low = np.frombuffer(b"".join(hashlib.md5(f.encode()).digest()[8:] for f in fs), dtype=">u8").astype("<u8")
-        bits = np.unpackbits(low.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        return int(np.packbits(bits * 2 > len(fs), bitorder="little").view("<i8")[0])
 
-    return features.map(one)
+def title_simhash(title: Column) -> Column:
+    """the SimHash of a title's character trigrams."""
+    return _gram_simhash(F.replace(normalize(title), F.lit(" "), F.lit("")))
 
 
 def hamming(a: Column, b: Column) -> Column:

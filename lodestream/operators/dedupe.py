@@ -10,14 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions.text import char_grams, hamming, simhash64, title_tokens
+from lodestream.functions.text import hamming, title_simhash, title_tokens
 
 SAME_DAY, NEAR, FAR, FAR_JACCARD = 12, 8, 6, 0.4
 NEAR_DAYS, KEPT_DAYS, TITLES = 30, 90, 3
 
 
 def with_simhash(items: DataFrame, title: str = "title") -> DataFrame:
-    return items.withColumn("simhash", simhash64(char_grams(F.col(title))))
+    return items.withColumn("simhash", title_simhash(F.col(title)))
 
 
 def first_fit(hashes: list[int], most: int) -> list[int]:
@@ -45,7 +45,7 @@ def same_day_groups(items: DataFrame, most: int = SAME_DAY) -> DataFrame:
 
 def day_clusters(grouped: DataFrame, trust: DataFrame) -> DataFrame:
     """Of each group the representative by (trust, published), its size, and the first member's hash, which stays the group's."""
-    m = grouped.join(F.broadcast(trust), "source_id", "left").withColumn("trust", F.coalesce("trust", F.lit(3)))
+    m = grouped.join(trust, "source_id", "left").withColumn("trust", F.coalesce("trust", F.lit(3)))
     best = F.max_by(F.struct("pos", "title", "url_hash", "published"), F.struct("trust", F.coalesce("published", F.lit("1970-01-01").cast("timestamp")), -F.col("pos")))
     return m.groupBy("day", "grp").agg(best.alias("rep"), F.count("*").alias("size"), F.min_by("simhash", "pos").alias("rep_hash"), F.min(F.struct(F.coalesce(F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("p"), F.col("url_hash").alias("h"))).alias("first"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions.text import tokens
+from lodestream.functions.text import bound, tokens
 
 
 def first_slots(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
@@ -34,8 +34,7 @@ def entity_mentions(articles: DataFrame, models: Column, labs: Column) -> DataFr
 
 def pairs_within(items: Column) -> Column:
     """The pairs a < b of an array's distinct elements, as an array of structs."""
-    s = F.array_sort(F.array_distinct(items))
-    return F.flatten(F.transform(s, lambda a, i: F.transform(F.slice(s, i + 2, F.size(s)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return bound(F.array_sort(F.array_distinct(items)), lambda s: F.flatten(F.transform(s, lambda a, i: F.transform(F.slice(s, i + 2, F.size(s)), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
 
 
 def tag_pairs(articles: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.operators.joins import running
+
 
 def level_shift(series: DataFrame, keys: list[str], order: str, value: str, least: int = 4) -> DataFrame:
     """M1: the split with least squared error, ``least`` points on either side, first of equals; by prefix sums.
@@ -133,8 +135,7 @@ def calibrate_threshold(scored: DataFrame, score: str, truth: str, recall: float
     Counts by distinct score come first, so the ordered pass runs over scores, not over rows.
     """
     by = scored.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(truth).cast("int")).alias("t"))
-    w = Window.orderBy(F.col("s").desc())
-    cum = by.withColumn("n", F.sum("n").over(w)).withColumn("t", F.sum("t").over(w))
+    cum = running(by, [F.col("s").desc()], {"cn": "n", "ct": "t"}).select("s", F.col("cn").alias("n"), F.col("ct").alias("t"))
     total = by.agg(F.sum("t").alias("all"))
     p, r = F.col("t") / F.col("n"), F.col("t") / F.col("all")
     fit = cum.crossJoin(F.broadcast(total)).select("s", p.alias("p"), r.alias("r")).where(F.col("r") >= recall)

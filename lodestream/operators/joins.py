@@ -20,13 +20,23 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, right_key: str,
     return both.where("__s = 0").select(*left.columns, out)
 
 
-def global_place(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """The place of each row in a total order, from zero: a range partitioning, a place within each partition and the sizes of those before."""
-    sorted_ = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "places")
-    sizes = sorted_.groupBy("__p").agg(F.count("*").alias("n"))
-    before = sizes.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("__b"))  # a row for each partition
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return sorted_.withColumn("__n", within).join(F.broadcast(before), "__p").withColumn(out, F.col("__b") + F.col("__n")).drop("__p", "__b", "__n")
+def running(df: DataFrame, order: list, sums: dict[str, str], place: str | None = None) -> DataFrame:
+    """Running sums (out -> column) in a total order, and the place of each row from zero, without one task for all rows.
+
+    A range partitioning, running sums within each partition, and what the partitions before hold: a row for each.
+    """
+    parts = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "running")
+    w, before = Window.partitionBy("__p").orderBy(*order), Window.orderBy("__p")
+    totals = parts.groupBy("__p").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{o}") for o, c in sums.items()])
+    offsets = totals.select("__p", (F.sum("__n").over(before) - F.col("__n")).alias("__n0"), *[(F.sum(f"__{o}").over(before) - F.col(f"__{o}")).alias(f"__{o}0") for o in sums])
+    out = parts.select("*", (F.row_number().over(w) - 1).alias("__i"), *[F.sum(c).over(w).alias(f"__{o}") for o, c in sums.items()]).join(F.broadcast(offsets), "__p")
+    done = out.select(*df.columns, *([(F.col("__n0") + F.col("__i")).alias(place)] if place else []), *[(F.col(f"__{o}0") + F.col(f"__{o}")).alias(o) for o in sums])
+    return done
+
+
+def global_place(df: DataFrame, order: list, out: str) -> DataFrame:
+    """The place of each row in a total order, from zero."""
+    return running(df, order, {}, out)
 
 
 def membership_diff(old: DataFrame, new: DataFrame, key: str, group: str) -> DataFrame:

@@ -39,6 +39,21 @@ def insert_version(ledger: DataFrame, rows: DataFrame, version: int, key: list[s
     return ledger.unionByName(new.join(ledger, [*key, "lexicon_version"], "left_anti").select(*ledger.columns))
 
 
+def load_seed(versions: DataFrame, concepts: DataFrame, aliases: DataFrame, version: int, note: str, seed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """C11: a lexicon version (replacing one of its number), and the concepts and aliases of ``seed`` that are new with it."""
+    n = seed.select("concept_id").distinct().agg(F.count("*").alias("concept_count"))
+    row = n.select(F.lit(version).alias("version"), F.lit(note).alias("note"), F.col("concept_count"))
+    out = upsert(versions, row.select(*versions.columns), ["version"])
+    new = seed.select("concept_id", "canonical_name").dropDuplicates(["concept_id"]).join(concepts, "concept_id", "left_anti").withColumn("first_lexicon_version", F.lit(version))
+    more = seed.select("concept_id", "pattern").distinct().join(aliases, ["concept_id", "pattern"], "left_anti").withColumn("added_version", F.lit(version))
+    return out, concepts.unionByName(new.select(*concepts.columns)), aliases.unionByName(more.select(*aliases.columns))
+
+
+def patterns_of(aliases: DataFrame, version: int) -> DataFrame:
+    """The aliases that a version knows."""
+    return aliases.where(F.col("added_version") <= version)
+
+
 def check_patterns(aliases: list[tuple[str, str]]) -> None:
     """An alias that doesn't compile stops the run."""
     import re

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from lodestream.operators.joins import global_place
+
 
 def rank_score(importance: Column, published: Column, cluster_size: Column, as_of: Column) -> Column:
     """0.6 importance / 5 + 0.3 freshness over 48 hours + 0.1 size / 5; missing: 3, 48 hours, 1; the future is fresh."""
@@ -46,7 +48,7 @@ def representative(members: DataFrame, by: list[str], order: list[Column]) -> Da
 
 def evidence(candidates: DataFrame, keywords: Column, hay: Column, newest: list[Column], k: int) -> DataFrame:
     """The k candidates with most keyword hits minus 0.001 of their place; without any hit the k newest."""
-    rows = candidates.withColumn("__i", F.row_number().over(Window.orderBy(*newest)) - 1).withColumn("__h", F.size(F.filter(keywords, lambda w: F.contains(hay, w))))
+    rows = global_place(candidates, newest, "__i").withColumn("__h", F.size(F.filter(keywords, lambda w: F.contains(hay, w))))
     any_hit = rows.agg(F.max("__h").alias("__any"))
     rows = rows.crossJoin(F.broadcast(any_hit)).where((F.col("__h") > 0) | (F.col("__any") == 0))
     scored = rows.withColumn("score", F.when(F.col("__any") > 0, F.col("__h") - F.col("__i") * 0.001).otherwise(-F.col("__i") * 0.001))

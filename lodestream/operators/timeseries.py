@@ -6,6 +6,7 @@ so a series must fit a task, days of one entity at most; no operator pivots or c
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,13 +39,13 @@ def acceleration(velocities: DataFrame) -> DataFrame:
 
 
 def ema(df: DataFrame, value: str, span: int, out: str) -> DataFrame:
-    """e0 = x0, e = a x + (1 - a) e with a = 2 / (span + 1), by a fold over each entity's ordered series."""
-    a = 2.0 / (span + 1)
-    rows = df.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("day", F.col(value).cast("double").alias("x")))).alias("s"))
-    step = lambda acc, r: F.array_append(acc, F.when(F.size(acc) == 0, r["x"]).otherwise(F.element_at(acc, -1) * (1 - a) + r["x"] * a))
-    folded = rows.withColumn("e", F.aggregate("s", F.array().cast("array<double>"), step))
-    series = folded.select(*KEYS, F.explode(F.arrays_zip("s", "e")).alias("z")).select(*KEYS, F.col("z.s.day").alias("day"), F.col("z.e").alias(out))
-    return df.join(series, ["day", *KEYS])
+    """e0 = x0, e = a x + (1 - a) e with a = 2 / (span + 1), a grouped map over each entity's series."""
+
+    def fold(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("day")
+        return f.assign(**{out: f[value].astype(float).ewm(span=span, adjust=False).mean()})
+
+    return df.groupBy(*KEYS).applyInPandas(fold, df.withColumn(out, F.lit(0.0)).schema)
 
 
 def burst_scores(velocities: DataFrame) -> DataFrame:

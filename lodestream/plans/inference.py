@@ -233,3 +233,37 @@ def v3_related_clusters(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     near = vec.cosine_top_k(e)
     return vec.related_clusters(near, e.select(F.col("vec_id").alias("id"), F.col("label").alias("cluster")), 1000).select("cluster", "other", "score")
+
+
+@query(
+    """WITH d AS (SELECT user_id, (ts::DATE - DATE '2024-01-01')::INT AS t, count(*) FILTER (event_type = 'view') AS x, count(*) FILTER (event_type = 'purchase') AS y FROM events GROUP BY ALL), k AS (SELECT user_id FROM d GROUP BY user_id HAVING count(*) FILTER (x > 0) >= 5 AND count(*) FILTER (y > 0) >= 5),
+j AS (SELECT a.user_id, l.lag, a.x, b.y FROM d a JOIN k USING (user_id) CROSS JOIN range(0, 8) l(lag) JOIN d b ON a.user_id = b.user_id AND b.t = a.t + l.lag), r AS (SELECT user_id, lag, corr(x, y) AS r FROM j GROUP BY ALL HAVING stddev_pop(x) > 1e-12 AND stddev_pop(y) > 1e-12),
+b AS (SELECT user_id, lag FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(r, 9) DESC, lag) = 1) SELECT count(*) AS n, round(median(lag), 6) AS median_lag, round(avg(lag), 6) AS mean_lag FROM b"""
+)
+def m10_lag_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Median and mean lag of the keys with five active days on either side."""
+    d = daily_events(spark, sf).withColumnRenamed("source_id", "user_id")
+    n = lambda v: F.sum(F.when(F.col("entity") == v, 1).otherwise(0))
+    d = d.groupBy("user_id", F.datediff("day", F.lit("2024-01-01").cast("date")).alias("t")).agg(n("view").alias("x"), n("purchase").alias("y"))
+    active = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
+    keys = d.groupBy("user_id").agg(active("x").alias("a"), active("y").alias("b")).where("a >= 5 AND b >= 5").select("user_id")
+    lags = inf.lag_correlation(d.join(keys, "user_id", "left_semi"), ["user_id"], "x", "y")
+    return lags.agg(F.count("*").alias("n"), F.round(F.median("lag"), 6).alias("median_lag"), F.round(F.avg("lag"), 6).alias("mean_lag"))
+
+
+@query("SELECT l_partkey AS paper, o_orderdate::DATE AS day, o_orderpriority AS kind, l_orderkey AS article FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def m20_paper_events(spark: SparkSession, sf: str) -> DataFrame:
+    """A row for each event of a paper."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(F.col("l_partkey").alias("paper"), F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("kind"), F.col("l_orderkey").alias("article"))
+
+
+@query(
+    "WITH m AS (SELECT entity, date_trunc('month', day) AS m, count(*) AS n FROM mentions GROUP BY ALL), v AS (SELECT entity, avg(n) AS level, regr_slope(n, epoch(m)) * 86400 AS slope, count(*) AS k FROM m GROUP BY entity) SELECT count(*) AS concepts, round(corr(level, slope), 6) AS pearson FROM v WHERE k > 2"
+)
+def m21_velocity_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Agreement of two measures over concepts, here level and constant velocity."""
+    m = mentions(spark, sf).groupBy("entity", F.date_trunc("month", "day").alias("m")).agg(F.count("*").alias("n"))
+    t = F.unix_timestamp("m").cast("double")
+    v = m.groupBy("entity").agg(F.avg("n").alias("level"), (F.regr_slope("n", t) * 86400).alias("slope"), F.count("*").alias("k")).where("k > 2")
+    return v.agg(F.count("*").alias("concepts"), F.round(inf.correlation("level", "slope"), 6).alias("pearson"))

@@ -36,7 +36,7 @@ sims AS (SELECT item_id, sum(CASE WHEN set THEN (1::HUGEINT << i::INT) ELSE 0::H
 
 @query(f"WITH {_SIM.strip()} SELECT item_id, printf('%016x', u) AS simhash FROM sims")
 def f3_simhash(spark: SparkSession, sf: str) -> DataFrame:
-    sims = table(spark, sf, "benchmark").select("item_id", T.simhash64(T.char_grams(F.col("text"))).alias("h"))
+    sims = table(spark, sf, "benchmark").select("item_id", T.title_simhash(F.col("text")).alias("h"))
     return sims.select("item_id", F.lower(F.lpad(F.hex("h"), 16, "0")).alias("simhash"))
 
 

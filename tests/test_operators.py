@@ -297,3 +297,38 @@ def test_validator_rejects(spark) -> None:
     bad = [(2, "s", ["a"], "r", 3, None, None, None, None), (3, "s", ["a", "b"], "?", 3, None, None, None, None), (4, "s", ["a", "b"], "r", 6, None, None, None, None), (5, None, ["a", "b"], "r", 3, None, None, None, None)]
     got = fl.valid_results(spark.createDataFrame([ok, *bad], schema), ["r", "o"], ["x", "z"]).collect()
     assert len(got) == 1 and got[0]["tags"] == ["x", "z"] and got[0]["subtitle"] == "Sub" and got[0]["institution"] is None and got[0]["authors"] == "A"
+
+
+def test_boundary_calls_batches_and_gives_up(spark) -> None:
+    from lodestream.sources import boundary
+
+    articles = spark.createDataFrame([(i, dt.date(2025, 1, 1), "t", "s" if i != 3 else "  ") for i in range(10)], "id int, day date, title string, summary string").coalesce(1)
+    done = spark.createDataFrame([(1,)], "id int")
+    got = boundary.embed_pending(articles, done, lambda texts: [[float(len(t))] for t in texts], "m", size=4).collect()
+    assert sorted(r["id"] for r in got) == [0, 2, 4, 5, 6, 7, 8, 9] and got[0]["vector"] == [3.0]
+
+    def fails(batch: pd.DataFrame) -> pd.DataFrame:
+        if (batch["id"] >= 4).any():
+            raise OSError("down")
+        return batch[["id"]]
+
+    left = boundary.call_in_batches(spark.range(12).coalesce(1), fails, "id bigint", size=2, tries=2, wait=0.01)
+    assert sorted(r["id"] for r in left.collect()) == [0, 1, 2, 3]
+
+
+def test_seed_twice_changes_nothing(spark) -> None:
+    versions = spark.createDataFrame([], "version int, note string, concept_count bigint")
+    concepts = spark.createDataFrame([("a", "A", 1)], "concept_id string, canonical_name string, first_lexicon_version int")
+    aliases = spark.createDataFrame([("a", "aa", 1)], "concept_id string, pattern string, added_version int")
+    seed = spark.createDataFrame([("a", "A", "aa"), ("b", "B", "bb"), ("b", "B", "b2")], "concept_id string, canonical_name string, pattern string")
+    one = lg.load_seed(versions, concepts, aliases, 2, "n", seed)
+    two = lg.load_seed(*one, 2, "n", seed)
+    for x, y in zip(one, two, strict=True):
+        assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect()))
+    assert lg.patterns_of(two[2], 1).count() == 1 and two[2].count() == 3 and two[0].first()["concept_count"] == 2
+
+
+def test_running_sums_over_partitions(spark) -> None:
+    df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("x"), (F.col("id") % 5).alias("v"))
+    got = joins.running(df, ["x"], {"s": "v"}, "i").orderBy("x").collect()
+    assert [r["i"] for r in got] == list(range(1000)) and [r["s"] for r in got] == list(itertools.accumulate(r["v"] for r in got))
