@@ -177,7 +177,7 @@ def strip_html(text: Column, most: int | None = None) -> Column:
 
 def snippet(text: Column, term: Column, width: int = 160) -> Column:
     """``width`` characters around the first hit of a term, with dots where the text goes on."""
-    hit = F.locate_col(term, text) if hasattr(F, "locate_col") else F.call_function("locate", F.lower(term), F.lower(text))
+    hit = F.call_function("locate", F.lower(term), F.lower(text))
     start = F.greatest(hit - width // 2, F.lit(1))
     body = F.substring(text, start, F.lit(width))
     return F.concat(F.when(start > 1, "…").otherwise(""), body, F.when(start + width - 1 < F.length(text), "…").otherwise(""))

@@ -49,7 +49,7 @@ def velocities(stream: DataFrame, key: str, day: str = "day") -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {day} {kinds[day]}, n bigint, velocity double", "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def continuity_writer(sink, days_seen: list | None = None):  # noqa: ANN001, ANN201
+def continuity_writer(sink):  # noqa: ANN001, ANN201
     """D3 on a stream of day clusters: a foreachBatch function that keeps one Continuity and hands each batch's ids to ``sink``.
 
     A batch's days go through in order. The state lives in the query's driver, as its retention bounds it.
@@ -63,8 +63,6 @@ def continuity_writer(sink, days_seen: list | None = None):  # noqa: ANN001, ANN
             groups = [{"simhash": int(h) & ((1 << 64) - 1), "tokens": list(t), "first": x} for h, t, x in zip(f["rep_hash"], f["tokens"], f["first"], strict=True)]
             ids, _events = state.step(day, groups)
             out += list(zip(f["day"], f["grp"], ids, strict=True))
-            if days_seen is not None:
-                days_seen.append(day)
         sink(out)
 
     return batch
