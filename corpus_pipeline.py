@@ -24,8 +24,8 @@ LEAST_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language of the labels, by a network that is trained on them; ``und`` and unclear ones go."""
     net = langid.fit(docs, F.coalesce(langid.remainder("id") != 2, F.lit(False)))
-    kept = langid.predict(docs, net, keep=docs.columns)
-    return kept.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    kept = langid.predict(docs, net, keep=docs.columns, names=("__lang", "__score"))
+    return kept.where((F.col("__lang") != langid.UND) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,17 +177,17 @@ def fit(df: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str
     return train(x, y, langs) if len(x) else None
 
 
-def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``df``'s id, lang_pred and score of each row; with ``keep``, also those columns unchanged."""
-    also = [c for c in keep or [] if c not in (id_col, "lang_pred", "score")]
+def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The id of each row of ``df``, its language and score under ``names``; with ``keep``, also those columns unchanged."""
+    also = [c for c in keep or [] if c not in (id_col, *names)]
     own = df.select(F.col(id_col), F.col(text_col).alias("__text"), *also)
 
     def rows(c: dict) -> dict:
         pred, score = predict_many(net, c["__text"])
-        return {id_col: c[id_col], "lang_pred": pred, "score": score} | {k: c[k] for k in also}
+        return {id_col: c[id_col], names[0]: pred, names[1]: score} | {k: c[k] for k in also}
 
     kinds = dict(own.dtypes)
-    return arrow_map(own, rows, ", ".join([f"`{id_col}` {kinds[id_col]}, lang_pred string, score double", *(f"`{k}` {kinds[k]}" for k in also)]))
+    return arrow_map(own, rows, ", ".join([f"`{id_col}` {kinds[id_col]}, `{names[0]}` string, `{names[1]}` double", *(f"`{k}` {kinds[k]}" for k in also)]))
 
 
 def remainder(id_col: str) -> Column:

@@ -53,3 +53,14 @@ def test_each_stage_does_its_work(spark, stages) -> None:
 
 def test_run_gives_the_rows_of_the_stages(spark, stages) -> None:
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, stages[-1][1]))
+
+
+def test_stages_take_odd_rows_clashing_columns_and_no_rows(spark) -> None:
+    from pyspark.sql import functions as F
+    from test_llm import odd
+
+    df = odd(spark).withColumn("score", F.lit("own")).withColumn("fp", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, df, SF).collect()
+        assert all(r["score"] == "own" and r["fp"] == 1 for r in got), name
+        assert stage(spark, df.limit(0), SF).count() == 0, name
