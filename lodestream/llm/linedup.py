@@ -142,7 +142,9 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # grouped by the bytes themselves, with the hash in front
     same = found.groupBy("h1", "h2", "chunk").agg(F.count("*").alias("n"), first).drop("chunk")
     once = same.groupBy("h1", "h2").agg(F.count("*").alias("variants"), F.sum("n").alias("n"), F.min("k").alias("k")).where("variants = 1 AND n > 1")
-    hits = found.select("id", "start", "h1", "h2").join(once.select("h1", "h2", "k"), ["h1", "h2"])
+    # written, so that the join shuffles both sides itself and Spark can split a hot hash
+    once = cut(once.select("h1", "h2", "k"), "line-keepers")
+    hits = found.select("id", "start", "h1", "h2").join(once, ["h1", "h2"])
     hits = hits.where((F.coalesce("id", last) != F.col("k.id")) | (F.col("start") != F.col("k.start")))
     return hits.groupBy("id").agg(F.collect_set(F.struct("start", "h1", "h2", F.col("k.before").alias("before"), F.col("k.after").alias("after"))).alias("gone"))
 
