@@ -1,16 +1,18 @@
 """Removal of line chunks that repeat across the corpus.
 
-A text is its lines. A rolling hash over the hashes of the last WINDOW lines decides whether a chunk ends after a
-line, so that the borders depend on what stands there and not on what was inserted before; a line of LONG_WORDS words
-or more is a chunk of its own. Equal chunks are found by grouping on their bytes: the hash only shortens the keys of
-later joins, and where one hash stands for different bytes nothing is removed. Of equal chunks the first one, by id
-and place, is the keeper.
-
-The borders of a passage's first and last chunk depend on the text around it. So a repeated chunk grows over the
-lines before and after it as far as they equal those beside its keeper, CONTEXT lines at most (by 64-bit hashes of
-lines that stand beside equal bytes); chunks within the passage overlap in this. What has grown together goes if it
-is two lines with words and MIN_WORDS words, or LONG_WORDS words. Each line that goes has an equal one at an
-earlier place, so one copy of everything stays.
+A text is its lines. Two kinds of chunks are compared. Windows: from each line with words forwards, and from each one
+backwards, the shortest stretch that may go by itself (two lines with words and MIN_WORDS words, or LONG_WORDS words).
+They depend on nothing outside, and together they cover every line with words of every stretch that may go, wherever
+it stands and whatever is around it. And the pieces between borders, where a rolling hash over the hashes of the last
+WINDOW lines decides whether one ends after a line, so that the borders depend on what stands there and not on what
+was inserted before; a line of LONG_WORDS words or more is a piece of its own. Equal chunks are found by grouping on
+their bytes: the hash only shortens the keys of later joins, and where one hash stands for different bytes nothing is
+removed. Of equal chunks the first one, by id and place, is the keeper.
+
+A repeated chunk grows over the lines before and after it as far as they equal those beside its keeper, CONTEXT lines
+at most (by 64-bit hashes of lines that stand beside equal bytes): this takes lines without words, and those beside
+pieces that are too short to be windows. What is marked together goes if it may go by itself. Each line that goes has
+an equal one at an earlier place, so one copy of everything stays.
 
 Bytes are only shuffled where a chunk may repeat: hashes that occur twice set bits of a bitmap of bounded size, which
 goes to the tasks. Other chunks that meet a set bit, more of them the larger the corpus, come along and change nothing.
@@ -34,7 +36,7 @@ from lodestream.session import cut
 
 #: Lines under the rolling hash; a chunk ends where it is a multiple of this.
 WINDOW, DIVISOR = 2, 2
-#: Words of a line that is a chunk of its own, of what goes, and of a chunk that is compared at all.
+#: Words of a line that is a piece of its own and goes alone, of what goes, and of a piece that is compared at all.
 LONG_WORDS, MIN_WORDS, CHUNK_WORDS = 20, 10, 5
 CONTEXT = 3
 #: Bits of the bitmap for each hash that repeats, and of the bitmap at most (32 MB).
@@ -46,6 +48,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _enough(words: int, lines: int) -> bool:
+    """Whether so many words on so many lines with words may go."""
+    return words >= LONG_WORDS or words >= MIN_WORDS and lines >= 2
+
+
 class Lines:
     """A text's lines with their hashes and numbers of words."""
 
@@ -55,7 +62,7 @@ class Lines:
         self.words = [len(x.split()) for x in self.lines]
 
     def chunks(self) -> list[tuple[int, int]]:
-        """(first line, line after the last) of each chunk, in order and without gaps."""
+        """(first line, line after the last) of each piece, in order and without gaps."""
         out, start, rolling, power = [], 0, 0, pow(_BASE, WINDOW, 1 << 64)
         for i, h in enumerate(self.hashes):
             # polynomial in the last WINDOW hashes: the newest comes in, the oldest goes out
@@ -73,8 +80,26 @@ class Lines:
             out.append((start, len(self.lines)))
         return out
 
+    def windows(self) -> set[tuple[int, int]]:
+        """(first line, line after the last) of the shortest stretch from each line with words, either way, that goes."""
+        out = set()
+        at = [i for i, w in enumerate(self.words) if w]
+        for step in (1, -1):
+            order = at[::step]
+            end = total = 0
+            for i, first in enumerate(order):
+                while end < len(order) and not _enough(total, end - i):
+                    total += self.words[order[end]]
+                    end += 1
+                if not _enough(total, end - i):
+                    break
+                low, high = sorted((first, order[end - 1]))
+                out.add((low, high + 1))
+                total -= self.words[first]
+        return out
+
     def compared(self) -> list[tuple[int, int]]:
-        return [(a, b) for a, b in self.chunks() if sum(self.words[a:b]) >= CHUNK_WORDS]
+        return sorted(self.windows().union((a, b) for a, b in self.chunks() if sum(self.words[a:b]) >= CHUNK_WORDS))
 
     def before(self, a: int) -> list[int]:
         """Hashes of the lines before ``a``, the nearest first."""
@@ -85,7 +110,7 @@ class Lines:
 
     def goes(self, a: int, b: int) -> bool:
         own = self.words[a:b]
-        return sum(own) >= LONG_WORDS or sum(own) >= MIN_WORDS and sum(w > 0 for w in own) >= 2
+        return _enough(sum(own), sum(w > 0 for w in own))
 
 
 def _key(chunk: str) -> tuple[int, int]:

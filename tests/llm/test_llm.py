@@ -313,6 +313,28 @@ def test_chunk_borders_follow_content() -> None:
     assert len(a & b) > 0.9 * len(a)
 
 
+def test_line_dedup_takes_whole_passages_of_short_lines(spark) -> None:
+    fresh = (f"w{n}" for n in itertools.count())
+    line = lambda k: " ".join(next(fresh) for _ in range(k))
+    passages = ["\n".join(line(k) for _ in range(n)) for n, k in ((3, 18), (4, 14), (5, 11), (6, 9), (60, 1), (2, 5)) for _ in range(5)]
+    alone = [line(19) for _ in range(5)]  # one line under LONG_WORDS stays
+    around = lambda p: f"{line(7)}\n{line(9)}\n{p}\n{line(9)}\n{line(7)}"
+    texts = [around(p) for _ in range(2) for p in passages + alone]
+    got = [r["text"] for r in linedup.remove_repeated(docs(spark, texts)).orderBy("doc_id").collect()]
+    n = len(passages + alone)
+    assert got[:n] == texts[:n] and got[n + len(passages) :] == texts[n + len(passages) :]
+    assert got[n : n + len(passages)] == [t.replace(p + "\n", "") for t, p in zip(texts[n:], passages, strict=False)]
+
+
+def test_windows_are_the_shortest_stretches_that_go() -> None:
+    rng = random.Random(6)
+    for _ in range(200):
+        own = linedup.Lines("\n".join(" ".join("w" * rng.choice([0, 0, 1, 2, 5, 12, 25])) for _ in range(rng.randint(1, 15))))
+        going = [(a, b) for a, b in itertools.combinations(range(len(own.lines) + 1), 2) if own.goes(a, b) and own.words[a] and own.words[b - 1]]
+        starts, ends = {a: min(b for x, b in going if x == a) for a, _ in going}, {b: max(a for a, x in going if x == b) for _, b in going}
+        assert own.windows() == set(starts.items()) | {(a, b) for b, a in ends.items()}
+
+
 def test_line_dedup_on_odd_rows(spark) -> None:
     got = linedup.remove_repeated(odd(spark)).collect()
     assert len(got) == 9 and sum(r["text"] is None for r in got) == 2
