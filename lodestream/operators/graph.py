@@ -179,10 +179,11 @@ def greedy_modularity(g: dict[str, dict[str, float]]) -> list[set[str]]:
     k = {v: sum(g[v].values()) / (2 * m) for v in members}
     e = {v: {u: w / m for u, w in g[v].items() if u != v} for v in members}
     while True:
-        best = max(((e[a][b] - 2 * k[a] * k[b], a, b) for a in e for b in e[a] if a < b), key=lambda x: (x[0], [-ord(c) for c in x[1] + " " + x[2]]), default=None)
-        if best is None or best[0] <= 1e-12:
+        gains = [(w - 2 * k[a] * k[b], a, b) for a, row in e.items() for b, w in row.items() if a < b]
+        best = max((x[0] for x in gains), default=0.0)
+        if best <= 1e-12:
             return sorted(members.values(), key=lambda s: (-len(s), min(s)))
-        _, a, b = best
+        _, a, b = max((x for x in gains if x[0] == best), key=lambda x: [-ord(c) for c in x[1] + " " + x[2]])
         for u, w in e.pop(b).items():
             del e[u][b]
             if u != a:
@@ -240,33 +241,43 @@ def graph_modularity(g: dict[str, dict[str, float]], communities: list[set[str]]
     return q
 
 
+def rewired_q(g: dict[str, dict[str, float]], seed: int, number: int) -> float:
+    """Q of greedy communities of the graph after double edge swaps, with its weights dealt anew; fixed by seed and number."""
+    edges = sorted((a, b) for a in g for b in g[a] if a < b)
+    rng = np.random.default_rng([seed, number])
+    now, have, tries = list(edges), set(edges), 4 * len(edges)
+    for (i, j), turned in zip(rng.integers(0, len(now), (tries, 2)).tolist(), (rng.random(tries) < 0.5).tolist(), strict=True):
+        (a, b), (c, d) = now[i], now[j]
+        if turned:
+            c, d = d, c
+        x, y = (a, d) if a < d else (d, a), (c, b) if c < b else (b, c)
+        if len({a, b, c, d}) < 4 or x in have or y in have:
+            continue
+        have -= {now[i], now[j]}
+        now[i], now[j] = x, y
+        have |= {x, y}
+    weights = rng.permutation([g[a][b] for a, b in edges])
+    h: dict[str, dict[str, float]] = defaultdict(dict)
+    for (a, b), w in zip(now, weights, strict=True):
+        h[a][b] = h[b][a] = float(w)
+    return graph_modularity(h, greedy_modularity(h))
+
+
+def large_enough(g: dict[str, dict[str, float]]) -> bool:
+    """Three nodes and edges."""
+    return len(g) >= 3 and sum(map(len, g.values())) >= 6
+
+
+def against_null(q: float, null: list[float]) -> dict[str, float]:
+    sd = float(np.std(null))
+    return {"q": q, "z": (q - float(np.mean(null))) / sd if sd > 1e-12 else 0.0, "p": (sum(x >= q for x in null) + 1) / (len(null) + 1)}
+
+
 def permutation_null(g: dict[str, dict[str, float]], n: int = 200, seed: int = 0) -> dict[str, float] | None:
     """Q of greedy communities against n rewired graphs (double edge swaps): q, z and p; None under three nodes or edges."""
-    edges = sorted((a, b) for a in g for b in g[a] if a < b)
-    if len(edges) < 3 or len(g) < 3:
+    if not large_enough(g):
         return None
-    rng, q = np.random.default_rng(seed), graph_modularity(g, greedy_modularity(g))
-    null = []
-    for _ in range(n):
-        now, have = list(edges), set(edges)
-        for _ in range(4 * len(edges)):
-            i, j = rng.integers(0, len(now), 2)
-            (a, b), (c, d) = now[i], now[j]
-            if rng.random() < 0.5:
-                c, d = d, c
-            x, y = tuple(sorted((a, d))), tuple(sorted((c, b)))
-            if len({a, b, c, d}) < 4 or x in have or y in have:
-                continue
-            have -= {now[i], now[j]}
-            now[i], now[j] = x, y
-            have |= {x, y}
-        weights = rng.permutation([g[a][b] for a, b in edges])
-        h: dict[str, dict[str, float]] = defaultdict(dict)
-        for (a, b), w in zip(now, weights, strict=True):
-            h[a][b] = h[b][a] = float(w)
-        null.append(graph_modularity(h, greedy_modularity(h)))
-    sd = float(np.std(null))
-    return {"q": q, "z": (q - float(np.mean(null))) / sd if sd > 1e-12 else 0.0, "p": (sum(x >= q for x in null) + 1) / (n + 1)}
+    return against_null(graph_modularity(g, greedy_modularity(g)), [rewired_q(g, seed, i) for i in range(n)])
 
 
 def node_betweenness(edges: DataFrame, key: str) -> DataFrame:
@@ -291,11 +302,31 @@ def communities(edges: DataFrame, key: str, method: str = "greedy", seed: int =
     return edges.groupBy(key).applyInPandas(run, f"{key} {dict(edges.dtypes)[key]}, node string, community int")
 
 
-def significance(edges: DataFrame, key: str, n: int = 200, seed: int = 0) -> DataFrame:
-    """G10 over each snapshot."""
+#: Rewired graphs that one task works out at a time.
+REWIRED = 10
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        r = permutation_null(adjacency(f), n, seed)
-        return pd.DataFrame([(f[key].iloc[0], r["q"], r["z"], r["p"])] if r else [], columns=[key, "q", "z", "p"])
 
-    return edges.groupBy(key).applyInPandas(run, f"{key} {dict(edges.dtypes)[key]}, q double, z double, p double")
+def significance(edges: DataFrame, key: str, n: int = 200, seed: int = 0) -> DataFrame:
+    """G10 over each snapshot: permutation_null, its rewired graphs spread over tasks as well."""
+    kind = dict(edges.dtypes)[key]
+    names = [key, "number", "q"]
+
+    def rewire(f: pd.DataFrame) -> pd.DataFrame:
+        g, start = adjacency(f), int(f["start"].iloc[0])
+        if not large_enough(g):
+            return pd.DataFrame([], columns=names)
+        rows = [(-1, graph_modularity(g, greedy_modularity(g)))] if start == 0 else []
+        rows += [(i, rewired_q(g, seed, i)) for i in range(start, min(n, start + REWIRED))]
+        return pd.DataFrame([(f[key].iloc[0], *r) for r in rows], columns=names)
+
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
+        q = f.sort_values("number")["q"].tolist()
+        r = against_null(q[0], q[1:])
+        return pd.DataFrame([(f[key].iloc[0], r["q"], r["z"], r["p"])], columns=[key, "q", "z", "p"])
+
+    starts = F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1), F.lit(REWIRED)))
+    # a number of partitions that adaptive execution leaves: the edges are few bytes and much work
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * edges.sparkSession.sparkContext.defaultParallelism)
+    spread = edges.select(key, "a", "b", "weight", starts.alias("start")).repartition(tasks, key, "start")
+    null = spread.groupBy(key, "start").applyInPandas(rewire, f"{key} {kind}, number int, q double")
+    return null.groupBy(key).applyInPandas(compare, f"{key} {kind}, q double, z double, p double")

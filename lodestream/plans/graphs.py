@@ -126,9 +126,8 @@ def g10_modularity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def g10_significance(spark: SparkSession, sf: str) -> DataFrame:
-    """Each window's graph against rewired ones."""
-    top = gr.top_edges(window_edges(spark, sf), 30, ["win"])
-    return gr.significance(top, "win", 20)
+    """Each window's whole graph against 200 rewired ones."""
+    return gr.significance(window_edges(spark, sf), "win")
 
 
 @query(f"WITH {_WINDOWED}, k AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY weight DESC, a, b) AS k FROM we) SELECT win, a, b, weight FROM k WHERE k <= 20")

@@ -19,6 +19,7 @@ from lodestream.operators import inference as inf
 from lodestream.operators import joins, ranking
 from lodestream.operators import ledger as lg
 from lodestream.operators import timeseries as ts
+from lodestream.plans import graphs
 from lodestream.sources import feeds, sinks
 
 
@@ -168,6 +169,15 @@ def test_communities_find_planted_parts() -> None:
     assert gr.permutation_null(gr.adjacency(two_cliques().head(2)), 5) is None
 
 
+def test_significance_takes_whole_windows(spark, monkeypatch) -> None:
+    rng = random.Random(7)
+    pairs = list(itertools.combinations([f"n{i:02d}" for i in range(12)], 2))
+    edges = pd.DataFrame([(w, a, b, rng.randint(2, 9)) for w in (1, 2) for a, b in sorted(rng.sample(pairs, 45))] + [(3, "x", "y", 2)], columns=["win", "a", "b", "weight"])
+    monkeypatch.setattr(graphs, "window_edges", lambda *_: spark.createDataFrame(edges, "win int, a string, b string, weight bigint"))
+    got = {r["win"]: (r["q"], r["z"], r["p"]) for r in graphs.g10_significance(spark, "").collect()}
+    assert got == {w: tuple(gr.permutation_null(gr.adjacency(edges[edges["win"] == w]), 200).values()) for w in (1, 2)}
+
+
 def brute_betweenness(g: dict) -> dict:
     """All simple paths of each pair."""
     out = dict.fromkeys(g, 0.0)
