@@ -48,12 +48,13 @@ def simhash64(features: pd.Series) -> pd.Series:
 
     A column expression for this folds 64 counters in boxed arrays and took half a second a row on long texts.
     """
-    return features.map(lambda fs: None if fs is None else _majority(list(fs)))
+    # Int64: a null would turn the others to floats, which lose their low bits
+    return pd.Series([None if fs is None else _majority(list(fs)) for fs in features], dtype="Int64")
 
 
 @F.pandas_udf(LongType())
 def _gram_simhash(bare: pd.Series) -> pd.Series:
-    return bare.map(lambda s: None if s is None else _majority([s[i : i + 3] for i in range(max(1, len(s) - 2))]))
+    return pd.Series([None if s is None else _majority([s[i : i + 3] for i in range(max(1, len(s) - 2))]) for s in bare], dtype="Int64")
 
 
 def title_simhash(title: Column) -> Column:

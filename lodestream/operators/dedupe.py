@@ -60,6 +60,17 @@ def near_pairs(items: DataFrame, most: int, by: list[str]) -> DataFrame:
     return b.join(other, [*by, "band"]).where((F.col("pos") < F.col("pos_b")) & (hamming(F.col("simhash"), F.col("hash_b")) <= most)).select(*by, "pos", "pos_b", hamming(F.col("simhash"), F.col("hash_b")).alias("bits")).distinct()
 
 
+def near_groups(items: DataFrame, most: int) -> DataFrame:
+    """J14 where many items are copies: (pos, pos_b, bits) of near representatives, the least pos of each hash, and of each other member with its representative, 0 bits.
+
+    Two items are near if they have one representative or their representatives are a pair, so no group of copies is squared.
+    """
+    rep = items.where(F.col("simhash").isNotNull()).groupBy("simhash").agg(F.min("pos").alias("pos"))
+    pairs = near_pairs(rep.withColumn("__all", F.lit(0)), most, ["__all"]).select("pos", "pos_b", "bits")
+    members = items.join(rep.withColumnRenamed("pos", "rep"), "simhash").where("pos <> rep").select(F.col("rep").alias("pos"), F.col("pos").alias("pos_b"), F.lit(0).alias("bits"))
+    return pairs.unionByName(members)
+
+
 class Continuity:
     """The state across days and one day's step. Entries keep their order of insertion."""
 

@@ -13,6 +13,7 @@ from lodestream.operators import graph as gr
 from lodestream.operators import identity as idn
 from lodestream.operators import timeseries as ts
 from lodestream.registry import registry
+from lodestream.session import cut
 
 query, QUERIES, ORACLES = registry()
 
@@ -209,6 +210,6 @@ def d12_readiness(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def j14_near_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items within 8 bits of each other, by bands (tested against all pairs)."""
-    items = dd.with_simhash(table(spark, sf, "benchmark").select(F.lit(0).alias("day"), F.col("item_id").alias("pos"), "text"), "text")
-    return dd.near_pairs(items, 8, ["day"]).select("pos", "pos_b", "bits")
+    """Documents within 8 bits of each other: pairs of representatives, and the members of each (tested against all pairs)."""
+    items = dd.with_simhash(table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "text"), "text")
+    return dd.near_groups(cut(items.select("pos", "simhash"), "near-hashes"), 8)

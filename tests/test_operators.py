@@ -72,6 +72,20 @@ def test_near_pairs_equal_all_pairs(spark) -> None:
     assert got == {(i, j, (a ^ b).bit_count()) for (i, a), (j, b) in itertools.combinations(enumerate(hashes), 2) if (a ^ b).bit_count() <= 6}
 
 
+def test_near_documents_are_whole_and_not_squared(spark, tmp_path) -> None:
+    base = [" ".join(f"{c}{i}word{i * 7 % 13}" for i in range(60)) for c in "abc"]
+    texts = [base[0]] * 30 + [base[0] + " x", base[1], base[2], base[1] + " y", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["pos"], r["pos_b"]): r["bits"] for r in graphs.j14_near_pairs(spark, str(tmp_path)).collect()}
+    h = [dd.with_simhash(spark.createDataFrame([(t,)], "title string")).first()["simhash"] if t not in texts[:i] else None for i, t in enumerate(texts[:-1])]
+    h = [h[texts.index(t)] for t in texts[:-1]]
+    bits = lambda i, j: ((h[i] ^ h[j]) & ((1 << 64) - 1)).bit_count()
+    near = {(i, j) for i, j in itertools.combinations(range(len(h)), 2) if bits(i, j) <= 8}
+    own = [h.index(x) for x in h]
+    assert near == {(i, j) for i, j in itertools.combinations(range(len(h)), 2) if own[i] == own[j] or tuple(sorted((own[i], own[j]))) in got}
+    assert all(b == bits(*k) for k, b in got.items()) and (0, 29) in got and len(got) < 40
+
+
 def test_continuity_tiers() -> None:
     state = dd.Continuity()
     d = days(0, 5, 40, 45, 200)
