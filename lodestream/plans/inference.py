@@ -166,7 +166,7 @@ def m17_undercount(spark: SparkSession, sf: str) -> DataFrame:
 def m18_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     """Share of finished orders, resampling customers; no SQL form."""
     c = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("cluster")).agg(F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("h"), F.count("*").alias("t"))
-    return inf.clustered_bootstrap(c, "h", "t", 500)
+    return inf.clustered_bootstrap(c, "h", "t")
 
 
 @query(

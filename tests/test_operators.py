@@ -19,7 +19,7 @@ from lodestream.operators import inference as inf
 from lodestream.operators import joins, ranking
 from lodestream.operators import ledger as lg
 from lodestream.operators import timeseries as ts
-from lodestream.plans import graphs
+from lodestream.plans import graphs, inference
 from lodestream.sources import feeds, sinks
 
 
@@ -145,6 +145,15 @@ def test_bootstrap_is_fixed_by_its_seed(spark) -> None:
     assert a == b and a["share"] == pytest.approx(5 / 9) and a["low"] <= a["share"] <= a["high"]
 
 
+def test_bootstrap_query_has_all_replicates(spark, tmp_path) -> None:
+    rows = [(i % 40, "F" if i * i % 7 < 3 else "O") for i in range(400)]
+    spark.createDataFrame(rows, "o_custkey int, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    clusters = [(k, sum(s == "F" for c, s in rows if c == k), sum(c == k for c, _ in rows)) for k in range(40)]
+    c = spark.createDataFrame(clusters, "cluster int, h bigint, t bigint")
+    got = inference.m18_bootstrap(spark, str(tmp_path)).collect()
+    assert got == inf.clustered_bootstrap(c, "h", "t", 2000).collect() != inf.clustered_bootstrap(c, "h", "t", 500).collect()
+
+
 def test_sign_test(spark) -> None:
     p = spark.createDataFrame([(32, 35), (5, 10)], "k int, n int").select(inf.sign_test(F.col("k"), F.col("n")).alias("p")).collect()
     assert p[0]["p"] == pytest.approx(2.1e-7, rel=0.05) and p[1]["p"] == pytest.approx(0.623, abs=0.001)
