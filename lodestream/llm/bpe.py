@@ -1,8 +1,10 @@
 """Byte-level BPE encoding and decoding by a local rank file.
 
 The tiktoken library does the merges. Long texts are first cut by a regular expression at safe boundaries, places
-where no match of the splitting pattern can reach across, so that the ids are those of the whole text. Decoding joins
-the raw bytes of the ids, which need not be valid UTF-8 one by one.
+where no match of the splitting pattern can reach across, so that the ids are those of the whole text. Runs of white space
+of RUN characters and more, which the library's matcher can't take (its stack is bounded), are matched here by the
+pattern's own rule: all but the last character of a run that something follows, the whole of a run that ends the text.
+Decoding joins the raw bytes of the ids, which need not be valid UTF-8 one by one.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to no bytes; repeated rows are
 encoded each for itself; columns other than those named are not read.
@@ -23,8 +25,14 @@ from lodestream.llm.common import arrow_map
 
 #: A letter or digit, then a space or a line feed: every alternative of the pattern ends between the two.
 SAFE = re.compile(r"(?<=[^\W_])(?=[ \n])")
-#: Characters of a piece, about.
-PIECE = 20_000
+#: Characters of a piece, about, and of a run of white space that is a piece of its own.
+PIECE, RUN = 20_000, 1_000
+
+
+@functools.cache
+def long_spaces(run: int) -> re.Pattern:
+    """Runs of white space as the library's matcher knows it (Python's own class has four control characters more)."""
+    return re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{run},}}")
 
 
 @functools.cache
@@ -46,9 +54,24 @@ def pieces(text: str, size: int = PIECE) -> list[str]:
     return [*out, text[start:]]
 
 
-def encode(enc: tiktoken.Encoding, text: str | None, size: int = PIECE) -> list[int]:
+def encode(enc: tiktoken.Encoding, text: str | None, size: int = PIECE, run: int = RUN) -> list[int]:
+    """The ids of a whole text. Expects a pattern of which only ``\\s+(?!\\S)|\\s+`` match white space, and others one space before them."""
     if not text:
         return []
+    if len(text) <= min(size, run):
+        return enc.encode_ordinary(text)
+    ids: list[int] = []
+    start = 0
+    for m in long_spaces(run).finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        if start < m.start():
+            ids += _encode_pieces(enc, text[start : m.start()], size)
+        ids += enc._encode_single_piece(text[m.start() : end])
+        start = end
+    return ids + _encode_pieces(enc, text[start:], size)
+
+
+def _encode_pieces(enc: tiktoken.Encoding, text: str, size: int) -> list[int]:
     if len(text) <= size:
         return enc.encode_ordinary(text)
     return [i for p in pieces(text, size) for i in enc.encode_ordinary(p)]

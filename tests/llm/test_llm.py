@@ -464,6 +464,15 @@ def test_pieces_leave_ids_as_they_are(text: str, size: int) -> None:
     assert ids == enc.encode_ordinary(text) and bpe.decode(enc, ids) == text.encode()
 
 
+@pytest.mark.parametrize("gap", [" " * 2_000_000, "\n" * 2_000_000, " \n\t\u3000" * 400_000])
+def test_very_long_white_space(gap: str) -> None:
+    """The whole run but its last character is one match, which then begins the next one if it is a space."""
+    enc = bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    want = enc.encode_ordinary("so") + enc._encode_single_piece(gap[:-1]) + enc.encode_ordinary(gap[-1] + "it ends.") + enc._encode_single_piece(gap)
+    ids = bpe.encode(enc, f"so{gap}it ends.{gap}")
+    assert ids == want and bpe.decode(enc, ids) == f"so{gap}it ends.{gap}".encode()
+
+
 def test_bpe_digests_and_round_trip(spark) -> None:
     enc, df = reference(), odd(spark)
     got = bpe.digests(df, RANKS, public_tokenizers.PATTERN).collect()
