@@ -35,10 +35,10 @@ def level_shift(series: DataFrame, keys: list[str], order: str, value: str, leas
 
 
 def burst_days(series: DataFrame, keys: list[str], value: str, z: float = 2.0) -> DataFrame:
-    """M2: days above mean + z population deviations; a constant series has none."""
+    """M2: days above mean + z population deviations, by more than 1e-9; a constant series has none."""
     w = Window.partitionBy(*keys)
     m, sd = F.avg(value).over(w), F.stddev_pop(value).over(w)
-    return series.withColumn("__m", m).withColumn("__s", sd).where((F.col("__s") > 1e-12) & (F.col(value) > F.col("__m") + z * F.col("__s"))).drop("__m", "__s")
+    return series.withColumn("__m", m).withColumn("__s", sd).where((F.col("__s") > 1e-12) & (F.round(F.col(value) - F.col("__m") - z * F.col("__s"), 9) > 0)).drop("__m", "__s")
 
 
 def correlation(x: str, y: str) -> Column:

@@ -49,10 +49,16 @@ def ema(df: DataFrame, value: str, span: int, out: str) -> DataFrame:
 
 
 def burst_scores(velocities: DataFrame) -> DataFrame:
-    """(velocity - mean) / max(sample deviation, 1)."""
+    """(velocity - mean) / max(sample deviation, 1), to nine digits.
+
+    The deviation comes from the sums of velocities and of their squares, which are exact for whole numbers, so the
+    score doesn't depend on the order in which rows or partial sums meet; nine digits keep a comparison with a
+    threshold from turning on a last bit.
+    """
     w = Window.partitionBy(*KEYS)
-    spread = F.greatest(F.coalesce(F.stddev_samp("velocity").over(w), F.lit(0.0)), F.lit(1.0))
-    return velocities.withColumn("burst", (F.col("velocity") - F.avg("velocity").over(w)) / spread)
+    n, total, squares = F.count("velocity").over(w), F.sum("velocity").over(w), F.sum(F.col("velocity") * F.col("velocity")).over(w)
+    spread = F.when(n > 1, F.sqrt(F.greatest((n * squares - total * total) / (n * (n - 1)), F.lit(0.0)))).otherwise(F.lit(0.0))
+    return velocities.withColumn("burst", F.round((F.col("velocity") - total / n) / F.greatest(spread, F.lit(1.0)), 9))
 
 
 def top_movers(scored: DataFrame, day: Column, k: int, by: str = "velocity", down: bool = False) -> DataFrame:
@@ -176,7 +182,8 @@ def active_day_windows(rows: DataFrame, size: int = 14) -> DataFrame:
     return days.withColumn("win", F.floor(place / size)).groupBy("win").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days"))
 
 
-def quadrant(scored: DataFrame) -> DataFrame:
-    """The phase of each entity by the signs of velocity and acceleration."""
+def quadrant(scored: DataFrame, burst: float = 2.0) -> DataFrame:
+    """The phase of each entity by the signs of velocity and acceleration, and whether its burst score reaches ``burst`` either way."""
     v, a = F.col("velocity"), F.col("acceleration")
-    return scored.withColumn("phase", F.when((v > 0) & (a > 0), "rising").when((v > 0) & (a <= 0), "peaking").when((v <= 0) & (a > 0), "recovering").otherwise("falling"))
+    phase = F.when((v > 0) & (a > 0), "rising").when((v > 0) & (a <= 0), "peaking").when((v <= 0) & (a > 0), "recovering").otherwise("falling")
+    return scored.withColumn("phase", phase).withColumn("bursting", F.abs(F.round("burst", 9)) >= burst)

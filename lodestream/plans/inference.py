@@ -38,7 +38,7 @@ def m1_level_shift(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("entity", "category", F.col("index").cast("long").alias("index"), F.round("shift", 6).alias("shift"), F.round("sse_reduction", 6).alias("sse_reduction"))
 
 
-@query(f"WITH {_SERIES}, w AS (SELECT *, avg(n) OVER v AS m, stddev_pop(n) OVER v AS sd FROM s WINDOW v AS (PARTITION BY entity)) SELECT entity, day, n FROM w WHERE sd > 1e-12 AND n > m + 2 * sd")
+@query(f"WITH {_SERIES}, w AS (SELECT *, avg(n) OVER v AS m, stddev_pop(n) OVER v AS sd FROM s WINDOW v AS (PARTITION BY entity)) SELECT entity, day, n FROM w WHERE sd > 1e-12 AND round(n - m - 2 * sd, 9) > 0")
 def m2_burst_days(spark: SparkSession, sf: str) -> DataFrame:
     return inf.burst_days(_series(spark, sf), ["entity"], "n").select("entity", "day", "n")
 

@@ -233,9 +233,9 @@ def w16_first_slots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {GRID} SELECT entity, entity_type, CASE WHEN velocity > 0 AND acceleration > 0 THEN 'rising' WHEN velocity > 0 THEN 'peaking' WHEN acceleration > 0 THEN 'recovering' ELSE 'falling' END AS phase, abs(burst) >= 2 AS bursting FROM bur WHERE day = (SELECT max(day) FROM bur)"""
+    f"""WITH {GRID} SELECT entity, entity_type, CASE WHEN velocity > 0 AND acceleration > 0 THEN 'rising' WHEN velocity > 0 THEN 'peaking' WHEN acceleration > 0 THEN 'recovering' ELSE 'falling' END AS phase, abs(round(burst, 9)) >= 2 AS bursting FROM bur WHERE day = (SELECT max(day) FROM bur)"""
 )
 def w17_quadrant(spark: SparkSession, sf: str) -> DataFrame:
     scored = ts.burst_scores(ts.acceleration(ts.velocity(_counts(spark, sf))))
     last = ts.latest(ts.quadrant(scored), ["entity", "entity_type"])
-    return last.select("entity", "entity_type", "phase", (F.abs("burst") >= 2).alias("bursting"))
+    return last.select("entity", "entity_type", "phase", "bursting")
