@@ -9,18 +9,17 @@ was inserted before; a line of LONG_WORDS words or more is a piece of its own. E
 their bytes: the hash only shortens the keys of later joins, and where one hash stands for different bytes nothing is
 removed. Of equal chunks the first one, by id and place, is the keeper.
 
-A repeated chunk grows over the lines before and after it as far as they equal those beside its keeper, CONTEXT lines
-at most (by 64-bit hashes of lines that stand beside equal bytes): this takes lines without words, and those beside
-pieces that are too short to be windows. What is marked together goes if it may go by itself. Each line that goes has
-an equal one at an earlier place, so one copy of everything stays.
+What is marked together goes if it may go by itself. Each line that goes stands in a chunk whose bytes stand at an
+earlier place, so one copy of everything stays; lines without words beside a chunk stay too.
 
 Bytes are only shuffled where a chunk may repeat: hashes that occur twice set bits of a bitmap of bounded size, which
 goes to the tasks. Other chunks that meet a set bit, more of them the larger the corpus, come along and change nothing.
 Hot chunks are summed before their shuffle; the join from a hash to its occurrences can be split by Spark.
 
-Defined results: null text stays null; a text that loses all lines becomes empty; rows of one id are one document
-(where they hold equal chunks at equal places, these stay or go together); a null id comes last among keepers;
-other columns are untouched.
+Defined results: null text stays null; a text that loses all lines becomes empty; a document is an id with a text, so
+that rows that share both are one document (equal chunks at equal places stay or go together), and rows of one id, or
+without one, that differ in their texts are several, in the order of a hash of the text; a null id comes last among
+keepers; other columns are untouched.
 """
 
 from __future__ import annotations
@@ -38,7 +37,6 @@ from lodestream.session import cut
 WINDOW, DIVISOR = 2, 2
 #: Words of a line that is a piece of its own and goes alone, of what goes, and of a piece that is compared at all.
 LONG_WORDS, MIN_WORDS, CHUNK_WORDS = 20, 10, 5
-CONTEXT = 3
 #: Bits of the bitmap for each hash that repeats, and of the bitmap at most (32 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 28
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -101,13 +99,6 @@ class Lines:
     def compared(self) -> list[tuple[int, int]]:
         return sorted(self.windows().union((a, b) for a, b in self.chunks() if sum(self.words[a:b]) >= CHUNK_WORDS))
 
-    def before(self, a: int) -> list[int]:
-        """Hashes of the lines before ``a``, the nearest first."""
-        return [_signed(h) for h in self.hashes[max(0, a - CONTEXT) : a][::-1]]
-
-    def after(self, b: int) -> list[int]:
-        return [_signed(h) for h in self.hashes[b : b + CONTEXT]]
-
     def goes(self, a: int, b: int) -> bool:
         own = self.words[a:b]
         return _enough(sum(own), sum(w > 0 for w in own))
@@ -118,13 +109,18 @@ def _key(chunk: str) -> tuple[int, int]:
     return _signed(h >> 64), _signed(h & _MASK)
 
 
+def _document(id_col: str, text_col: str) -> list:
+    """What tells documents from each other: the id, and a hash of the text for rows without one or with the same one."""
+    return [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row")]
+
+
 def chunk_rows(df: DataFrame, id_col: str, text_col: str, may_repeat: Broadcast | None) -> DataFrame:
-    """(h1) of the chunks that are compared; or (id, start, h1, h2, before, after, chunk) of those that may repeat."""
-    names = ["h1"] if may_repeat is None else ["id", "start", "h1", "h2", "before", "after", "chunk"]
+    """(h1) of the chunks that are compared; or (id, row, start, h1, h2, chunk) of those that may repeat."""
+    names = ["h1"] if may_repeat is None else ["id", "row", "start", "h1", "h2", "chunk"]
 
     def rows(c: dict) -> dict:
         out: dict[str, list] = {n: [] for n in names}
-        for i, text in zip(c["id"], c["text"], strict=True):
+        for i, row, text in zip(c["id"], c["row"], c["text"], strict=True):
             if not text:
                 continue
             own = Lines(text)
@@ -137,12 +133,12 @@ def chunk_rows(df: DataFrame, id_col: str, text_col: str, may_repeat: Broadcast
                 bit = h1 & (64 * len(may_repeat.value) - 1)
                 if not int(may_repeat.value[bit >> 6]) >> (bit & 63) & 1:
                     continue
-                for name, value in zip(names, (i, a, h1, h2, own.before(a), own.after(b), chunk), strict=True):
+                for name, value in zip(names, (i, row, a, h1, h2, chunk), strict=True):
                     out[name].append(value)
         return out
 
-    schema = "h1 bigint" if may_repeat is None else "id bigint, start int, h1 bigint, h2 bigint, before array<bigint>, after array<bigint>, chunk string"
-    return arrow_map(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rows, schema)
+    schema = "h1 bigint" if may_repeat is None else "id bigint, row bigint, start int, h1 bigint, h2 bigint, chunk string"
+    return arrow_map(df.select(*_document(id_col, text_col), F.col(text_col).alias("text")), rows, schema)
 
 
 def repeat_bitmap(df: DataFrame, id_col: str, text_col: str) -> Broadcast:
@@ -160,38 +156,26 @@ def repeat_bitmap(df: DataFrame, id_col: str, text_col: str) -> Broadcast:
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, gone): of each document the places of its repeated chunks that aren't keepers, and what stands beside the keepers."""
+    """(id, row, gone): of each document the places of its repeated chunks that aren't keepers."""
     last = F.lit((1 << 63) - 1)
+    place = F.struct(F.coalesce("id", last).alias("id"), "row", "start")
     found = cut(chunk_rows(df, id_col, text_col, repeat_bitmap(df, id_col, text_col)), "line-chunks")
-    first = F.min(F.struct(F.coalesce("id", last).alias("id"), "start", "before", "after")).alias("k")
     # grouped by the bytes themselves, with the hash in front
-    same = found.groupBy("h1", "h2", "chunk").agg(F.count("*").alias("n"), first).drop("chunk")
+    same = found.groupBy("h1", "h2", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("k")).drop("chunk")
     once = same.groupBy("h1", "h2").agg(F.count("*").alias("variants"), F.sum("n").alias("n"), F.min("k").alias("k")).where("variants = 1 AND n > 1")
     # written, so that the join shuffles both sides itself and Spark can split a hot hash
     once = cut(once.select("h1", "h2", "k"), "line-keepers")
-    hits = found.select("id", "start", "h1", "h2").join(once, ["h1", "h2"])
-    hits = hits.where((F.coalesce("id", last) != F.col("k.id")) | (F.col("start") != F.col("k.start")))
-    return hits.groupBy("id").agg(F.collect_set(F.struct("start", "h1", "h2", F.col("k.before").alias("before"), F.col("k.after").alias("after"))).alias("gone"))
+    hits = found.select("id", "row", "start", "h1", "h2").join(once, ["h1", "h2"]).where(place != F.col("k"))
+    return hits.groupBy("id", "row").agg(F.collect_set(F.struct("start", "h1", "h2")).alias("gone"))
 
 
 def without(text: str, gone: list[dict]) -> tuple[str, int, int]:
     """The text without what repeats, and how many stretches and lines went."""
-    own, places = Lines(text), {(g["start"], g["h1"], g["h2"]): g for g in gone}
+    own, places = Lines(text), {(g["start"], g["h1"], g["h2"]) for g in gone}
     marked = [False] * len(own.lines)
     for a, b in own.compared():
-        g = places.get((a, *_key("\n".join(own.lines[a:b]))))
-        if g is None:
-            continue
-        low, high = a, b
-        for mine, kept in zip(own.before(a), g["before"], strict=False):
-            if mine != kept:
-                break
-            low -= 1
-        for mine, kept in zip(own.after(b), g["after"], strict=False):
-            if mine != kept:
-                break
-            high += 1
-        marked[low:high] = [True] * (high - low)
+        if (a, *_key("\n".join(own.lines[a:b]))) in places:
+            marked[a:b] = [True] * (b - a)
     kept, stretches, n_lines, i = [], 0, 0, 0
     while i < len(marked):
         j = i
@@ -208,8 +192,8 @@ def without(text: str, gone: list[dict]) -> tuple[str, int, int]:
 def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with its texts cut, and ``removed_chunks`` and ``removed_lines`` (replaced if ``df`` has them)."""
     own = df.drop("removed_chunks", "removed_lines")
-    gone = removals(own, id_col, text_col).withColumnsRenamed({"id": "__id", "gone": "__gone"})
-    joined = own.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    gone = removals(own, id_col, text_col).withColumnsRenamed({"id": "__id", "row": "__row", "gone": "__gone"})
+    joined = own.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__row")), "left").drop("__id", "__row")
     kinds, own_columns = dict(own.dtypes), own.columns
 
     def rows(c: dict) -> dict:

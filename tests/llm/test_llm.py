@@ -271,12 +271,6 @@ def plain_line_dedup(rows: list[tuple]) -> list:
             k, at = min(places["\n".join(ls[a:b])])
             if (k, at) != (i, a):
                 marked |= set(range(a, b))
-                for step, near, far in ((-1, a - 1, at - 1), (1, b, at + b - a)):
-                    for n in range(linedup.CONTEXT):
-                        x, y = near + step * n, far + step * n
-                        if not (0 <= x < len(ls) and 0 <= y < len(texts[k])) or ls[x] != texts[k][y]:
-                            break
-                        marked.add(x)
         kept, run = [], []
         for n, line in enumerate([*ls, None]):
             if line is not None and n in marked:
@@ -338,6 +332,46 @@ def test_windows_are_the_shortest_stretches_that_go() -> None:
         assert own.windows() == set(starts.items()) | {(a, b) for b, a in ends.items()}
 
 
+def test_line_dedup_takes_every_stretch_that_may_go(spark) -> None:
+    """Against all stretches of all texts, without the operator's borders."""
+    rng = random.Random(8)
+    pool = [" ".join(rng.choices(EN.split(), k=rng.choice([0, 1, 2, 4, 7, 11, 22]))) + ("" if i % 7 else f" {i}") for i in range(40)]
+    texts = ["\n".join(rng.choices(pool, k=rng.randint(1, 14))) for _ in range(60)]
+    got = [r["text"] for r in linedup.remove_repeated(docs(spark, texts)).orderBy("doc_id").collect()]
+    first: dict[tuple, tuple] = {}
+    seen: set[str] = set()
+    for n, text in enumerate(texts):
+        lines, must = text.split("\n"), set()
+        words = [len(x.split()) for x in lines]
+        for a, b in itertools.combinations(range(len(lines) + 1), 2):
+            own = words[a:b]
+            if own[0] and own[-1] and (sum(own) >= linedup.LONG_WORDS or sum(own) >= linedup.MIN_WORDS and sum(w > 0 for w in own) >= 2):
+                if first.setdefault(tuple(lines[a:b]), (n, a)) != (n, a):
+                    must |= set(range(a, b))
+        left = got[n].split("\n") if got[n] else []
+        rest = iter(lines)
+        assert all(x in rest for x in left)  # what stays stands in the text's order
+        assert len(left) <= len(lines) - len(must) and all(left.count(x) <= lines.count(x) - sum(lines[i] == x for i in must) for x in set(lines))
+        gone = list(lines)
+        for x in left:
+            gone.remove(x)
+        assert all(x in seen or lines.count(x) > 1 for x in gone)  # each has an equal one before it
+        seen |= set(lines)
+    assert {x for t in got for x in t.split("\n") if x.split()} == {x for t in texts for x in t.split("\n") if x.split()}
+
+
+def test_line_dedup_without_ids(spark) -> None:
+    """Rows without an id, or with the same one, are documents by their texts: one keeps a passage, and none acts on others."""
+    passage = "\n".join(" ".join(f"w{i}{j}" for j in range(12)) for i in range(5))
+    texts = [f"own {i} line\n{passage}\nlast {i}" for i in range(30)] + ["quite another text\nof two lines"]
+    for key in (None, 7):
+        df = docs(spark, texts).withColumn("doc_id", F.lit(key).cast("bigint"))
+        got = [r["text"] for r in linedup.remove_repeated(df).collect()]
+        assert sum(passage in t for t in got) == 1 and texts[-1] in got and len(got) == 31
+        same = linedup.remove_repeated(df.unionByName(df)).collect()
+        assert sum(passage in r["text"] for r in same) == 2  # both rows of one document keep it
+
+
 def test_line_dedup_on_odd_rows(spark) -> None:
     got = linedup.remove_repeated(odd(spark)).collect()
     assert len(got) == 9 and sum(r["text"] is None for r in got) == 2
