@@ -1,111 +1,181 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, lower-cased. Every document is searched for the word trigrams of all test
-items; what lies around its hits is kept as passages. Over all passages of the corpus the trigrams are counted, and of
-each SPAN trigrams in a row of an item the rarest becomes a seed: a changed word breaks three trigrams, but no stretch of
-an item is without a seed, however common its trigrams are. Seeds join passages to items; a pair that shares enough
-words is aligned, word by word. The score is the best local alignment's (MATCH, MISMATCH, GAP) over that of the whole
-item against itself; THRESHOLD or more is a leak.
-
-The test items go to the tasks: they are sent in parts of PART_CHARS characters, so that what is sent is bounded
-whatever the benchmark's size, at a pass over the documents for each part. Nothing is joined within a group of
-documents, so copies and common passages cost what their rows cost.
-
-Defined results: items whose words are equal count once, under their least id; items of fewer than three words, and
-null items, leak nowhere; null texts hold nothing; for a document with several places of an item the best one is
-returned (rows of one id are one document); null ids are returned as null.
+Words are runs of letters, digits and marks, lower-cased. The score of a place is the best local alignment's (MATCH,
+MISMATCH, GAP) of an item's words with the text's; an item leaks where it reaches ``need``: THRESHOLD of the item's
+score against itself, and LEAST points at least (a shorter item whole).
+
+Seeds are word pairs: of two words of an item that follow one another, or have one word between them, and stand so in
+the text. Whatever is changed, an alignment of ``need`` points has at least need / 2 - 1 steps from one matched word
+to the next that cost one point at most, and each of them is such a pair (its cost is twice the matches less the
+points, and a step without a pair costs two). So the commonest places of an item, by the pairs' counts over the whole
+corpus, can go without a seed, as many as leave a leak MET seeds or all that it has. Seeds join texts to items; a text
+with fewer of an item's seeds is out, and a place around seeds is aligned if it has pairs enough of the item, common
+ones counted too. What is found is what alignments of all texts with all items would find.
+
+The texts are read twice, once to count the items' pairs and once to find and align seeds; nothing but the counts and
+the leaks leaves a task, and nothing is joined within a group of documents, so copies and common passages cost what
+their rows cost. The test items go to the tasks in parts of PART_CHARS characters, so that what is sent is bounded
+whatever the benchmark's size, at two passes over the texts for each part.
+
+Defined results: items whose words are equal count once, under their least id; an item of one word leaks into texts
+that are this word and nothing else; items without words, and null items, leak nowhere; null texts hold nothing; for a
+document with several places of an item the best one is returned, the first where they tie (rows of one id are one
+document); null ids are returned as null.
 """
 
 from __future__ import annotations
 
-import regex
+import math
+import re
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import arrow_map
+from lodestream.llm.common import SLICE, arrow_map, small_batches
 from lodestream.session import cut
 
-WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
-N, SPAN = 3, 3
+WORD, WORD_WITHOUT_MARKS, MARK = regex.compile(r"[\p{L}\p{N}\p{M}]+"), re.compile(r"[^\W_]+"), regex.compile(r"\p{M}")
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Of an item's own score. Unrelated texts reach 0.2; copies with three words of ten changed 0.4 and more.
-THRESHOLD = 0.4
+#: Of an item's own score. Unrelated texts reach 0.2; copies with a share c of their words changed about 1 - 1.5 c, so
+#: those with four tenths changed 0.4.
+THRESHOLD = 0.35
+#: Points that an item of any length needs, or all of its own: six words in a row.
+LEAST = 12
+#: Seeds that a leak has at least, if its points ask for so many pairs.
+MET = 3
 PART_CHARS = 4_000_000
+#: Words that are searched at one time, about.
+BLOCK = 300_000
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    return (WORD_WITHOUT_MARKS if low.isascii() or not MARK.search(low) else WORD).findall(low)
+
+
+def need(n: int) -> int:
+    """The points from which an item of ``n`` words leaks."""
+    return max(math.ceil(THRESHOLD * MATCH * n - 1e-9), min(LEAST, MATCH * n))
+
+
+def least_pairs(n: int) -> int:
+    """How many places of an item of ``n`` words are pairs in any leak of it."""
+    return math.ceil(need(n) / 2) - 1
 
 
 class Items:
-    """Distinct test items of a part: their words as numbers, and their trigrams."""
+    """Distinct test items of a part: their words as numbers, and their pairs."""
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
+    def __init__(self, rows: list[tuple[int, list[str]]]) -> None:
         self.vocabulary: dict[str, int] = {}
         self.ids: list[int] = []
         self.words: list[np.ndarray] = []
-        seen: set[tuple[str, ...]] = set()
-        for item, text in sorted(rows):
-            w = tuple(words(text))
-            if len(w) >= N and w not in seen:
-                seen.add(w)
+        self.single: dict[int, int] = {}  # word -> item
+        for item, w in sorted(rows):
+            numbers = np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], dtype=np.int64)
+            if len(w) == 1:
+                self.single[int(numbers[0])] = item
+            elif len(w) > 1:
                 self.ids.append(item)
-                self.words.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], dtype=np.int64))
-        self.longest = max((len(w) for w in self.words), default=0)
-        keys = [self.keys(w) for w in self.words]
-        self.grams = np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
-        self.of_item = [np.searchsorted(self.grams, k) for k in keys]
-
-    def keys(self, w: np.ndarray) -> np.ndarray:
-        """A number for each trigram of numbered words; -1 where a word is unknown."""
-        base = len(self.vocabulary) + 1
-        if len(w) < N:
-            return np.zeros(0, dtype=np.int64)
-        known = (w[:-2] >= 0) & (w[1:-1] >= 0) & (w[2:] >= 0)
-        return np.where(known, (w[:-2] * base + w[1:-1]) * base + w[2:], -1)
+                self.words.append(numbers)
+        self.base = len(self.vocabulary) + 1
+        keys = [np.concatenate([self.keys(w, 1), self.keys(w, 2)]) for w in self.words]
+        self.pairs = np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
+        #: For each item and place, the pairs that begin there: with the next word, and the one after it (-1: none).
+        self.steps = []
+        for w, k in zip(self.words, keys, strict=True):
+            found = np.searchsorted(self.pairs, k)
+            second = np.full(len(w) - 1, -1)
+            second[: len(w) - 2] = found[len(w) - 1 :]
+            self.steps.append(np.stack([found[: len(w) - 1], second], axis=1))
+        #: A bit for the low bits of each pair's hash: most pairs of a text end here.
+        self.bits = 1 << max(10, int(16 * len(self.pairs)).bit_length())
+        self.may = np.zeros(self.bits, dtype=bool)
+        self.may[self.slot(self.pairs)] = True
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (self.bits - 1)
+
+    def keys(self, w: np.ndarray, gap: int) -> np.ndarray:
+        return w[:-gap] * self.base + w[gap:]
+
+    def blocks(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The words of texts as numbers (-1 for those of no item), BLOCK of them at a time, and where each text begins.
+
+        Two numbers -1 part a text from the next one, so that no pair reaches across; the last start is past the end.
+        """
+        get, numbers, starts = self.vocabulary.get, [], [0]
+        for text in texts:
+            numbers += [get(x, -1) for x in words(text)]
+            numbers += (-1, -1)
+            starts.append(len(numbers))
+            if len(numbers) >= BLOCK:
+                yield np.array(numbers, dtype=np.int64), np.array(starts)
+                numbers, starts = [], [0]
+        if len(starts) > 1:
+            yield np.array(numbers, dtype=np.int64), np.array(starts)
 
     def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and numbers of the items' trigrams in numbered words."""
-        k = self.keys(w)
-        at = np.flatnonzero(k >= 0)
-        if not len(at) or not len(self.grams):
-            return at[:0], at[:0]
-        g = np.minimum(np.searchsorted(self.grams, k[at]), len(self.grams) - 1)
-        found = self.grams[g] == k[at]
-        return at[found], g[found]
-
-
-def passages(df: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
-    """(id, first, words, places, grams): stretches of documents around hits; words are numbers, -1 for others."""
-
-    def rows(c: dict) -> dict:
-        out: dict[str, list] = {"id": [], "first": [], "words": [], "places": [], "grams": []}
-        number, reach = items.vocabulary.get, items.longest + items.longest // 2
-        for i, text in zip(c["id"], c["text"], strict=True):
-            w = np.array([number(x, -1) for x in words(text)], dtype=np.int64)
-            at, g = items.hits(w)
-            if not len(at):
+        """Places and numbers of the items' pairs in numbered words, by place."""
+        places, pairs = [], []
+        for gap in (1, 2):
+            if len(w) <= gap or not len(self.pairs):
                 continue
-            for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * reach) + 1):
-                a, b = max(0, int(at[group[0]]) - reach), min(len(w), int(at[group[-1]]) + N + reach)
-                for name, value in zip(out, (i, a, w[a:b], at[group] - a, g[group]), strict=True):
-                    out[name].append(value)
-        return out
-
-    return arrow_map(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rows, "id bigint, first int, words array<int>, places array<int>, grams array<int>")
-
-
-def choose_seeds(items: Items, counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-    """trigram -> (item, place in it): the rarest of each SPAN trigrams in a row, the first one where they tie."""
-    seeds: dict[int, list[tuple[int, int]]] = {}
-    for k, grams in enumerate(items.of_item):
-        chosen = set()
-        for i in range(max(1, len(grams) - SPAN + 1)):
-            chosen.add(min(range(i, min(i + SPAN, len(grams))), key=lambda j: (counts.get(int(grams[j]), 0), j)))
-        for j in sorted(chosen):
-            seeds.setdefault(int(grams[j]), []).append((k, j))
-    return seeds
+            at = np.flatnonzero((w[:-gap] >= 0) & (w[gap:] >= 0))
+            k = w[at] * self.base + w[at + gap]
+            may = self.may[self.slot(k)]
+            at, k = at[may], k[may]
+            n = np.minimum(np.searchsorted(self.pairs, k), len(self.pairs) - 1)
+            found = self.pairs[n] == k
+            places.append(at[found])
+            pairs.append(n[found])
+        if not places:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        at, n = np.concatenate(places), np.concatenate(pairs)
+        order = np.argsort(at, kind="stable")
+        return at[order], n[order]
+
+
+class Seeds:
+    """The places of items that are looked for, by pair: of pair p, ``item`` and ``place`` from first[p] to first[p + 1]."""
+
+    def __init__(self, items: Items, counts: np.ndarray) -> None:
+        pair, item, place, self.met = [], [], [], []
+        for k, (w, steps) in enumerate(zip(items.words, items.steps, strict=True)):
+            common = counts[steps[:, 0]] + np.where(steps[:, 1] >= 0, counts[steps[:, 1]], 0)
+            n_pairs = least_pairs(len(w))
+            self.met.append(min(MET, n_pairs))
+            kept = np.argsort(common, kind="stable")[: len(steps) - n_pairs + self.met[-1]]
+            for j in (0, 1):
+                own = kept[steps[kept, j] >= 0]
+                pair.append(steps[own, j])
+                item.append(np.full(len(own), k))
+                place.append(own)
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
+        pairs = join(pair)
+        order = np.argsort(pairs, kind="stable")
+        self.item, self.place = join(item)[order], join(place)[order]
+        self.first = np.searchsorted(pairs[order], np.arange(len(items.pairs) + 1))
+
+    def candidates(self, at: np.ndarray, pairs: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(text, item, places where it would begin, in order) of the texts with seeds enough of an item."""
+        n = self.first[pairs + 1] - self.first[pairs]
+        if not n.sum():
+            return []
+        seed = np.repeat(self.first[pairs] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        item, place, at = self.item[seed], self.place[seed], np.repeat(at, n)
+        text = np.searchsorted(starts, at, side="right") - 1
+        order = np.lexsort((at - place, item, text))
+        item, place, at, text = item[order], place[order], at[order], text[order]
+        border = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(item) != 0), [True]]))
+        enough = np.flatnonzero(np.diff(border) >= np.array(self.met)[item[border[:-1]]])
+        return [(int(text[a]), int(item[a]), (at - place)[a:b]) for a, b in zip(border[enough].tolist(), border[enough + 1].tolist(), strict=True)]
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -122,47 +192,64 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def align(items: Items, seeds: dict[int, list[tuple[int, int]]], w: np.ndarray, places: list[int], grams: list[int]) -> list[tuple[int, float, int, int]]:
-    """(item, score, start, end) for the items that leak into a passage."""
-    lines: dict[int, list[int]] = {}
-    for p, g in zip(places, grams, strict=True):
-        for k, j in seeds.get(g, ()):
-            lines.setdefault(k, []).append(p - j)
+def align(items: Items, seeds: Seeds, w: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, float, int, int]]:
+    """(text, item id, score, first word, word after the last) for the items that leak into the texts of a block."""
     out = []
-    for k, starts in lines.items():
-        own, slack = items.words[k], len(items.words[k]) // 2
-        need, best = THRESHOLD * MATCH * len(own), None
-        bag = np.bincount(own, minlength=len(items.vocabulary))
-        starts.sort()
-        at = 0
-        while at < len(starts):  # places that lie close together are one window
-            a = starts[at]
-            while at + 1 < len(starts) and starts[at + 1] - starts[at] <= slack:
-                at += 1
-            window = slice(max(0, a - slack), min(len(w), starts[at] + len(own) + slack))
-            at += 1
-            here = w[window]
-            known = here[here >= 0]
-            if MATCH * np.minimum(bag, np.bincount(known, minlength=len(bag))).sum() < need:
+    if items.single:
+        for t in np.flatnonzero(np.diff(starts) == 3).tolist():
+            if (one := items.single.get(int(w[starts[t]]))) is not None:
+                out.append((t, one, 1.0, 0, 1))
+    at, pairs = items.hits(w)
+    for t, k, begin in seeds.candidates(at, pairs, starts) if len(at) else ():
+        own, first, past = items.words[k], int(starts[t]), int(starts[t + 1]) - 2
+        points, n_pairs, best = need(len(own)), least_pairs(len(own)), None
+        # an alignment inserts no more words than its points allow, so none reaches beyond these windows
+        slack = MATCH * len(own) - points
+        for near in np.split(begin, np.flatnonzero(np.diff(begin) > 2 * slack + len(own)) + 1):
+            low, high = max(first, int(near[0]) - slack), min(past, int(near[-1]) + len(own) + slack)
+            a, b = np.searchsorted(at, (low, high))
+            if b - a < n_pairs or np.isin(items.steps[k], pairs[a:b]).any(axis=1).sum() < n_pairs:
                 continue
-            score, end = smith_waterman(own, here)
-            if score >= need and (best is None or score > best[0]):
-                back = smith_waterman(own[::-1], here[:end][::-1])[1]
-                best = (score, window.start + end - back, window.start + end)
+            score, end = smith_waterman(own, w[low:high])
+            if score >= points and (best is None or score > best[0]):
+                back = smith_waterman(own[::-1], w[low : low + end][::-1])[1]
+                best = (score, low + end - back - first, low + end - first)
         if best:
-            out.append((k, best[0] / (MATCH * len(own)), best[1], best[2]))
+            out.append((t, items.ids[k], best[0] / (MATCH * len(own)), best[1], best[2]))
     return out
 
 
+def pair_counts(df: DataFrame, items: Items, text_col: str) -> np.ndarray:
+    """How often each pair of the items stands in the texts; a task returns a row for each pair that it has met."""
+    small_batches(df.sparkSession)
+    n_pairs = len(items.pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_pairs, dtype=np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                for w, _ in items.blocks(batch.column(0).slice(start, SLICE).to_pylist()):
+                    total += np.bincount(items.hits(w)[1], minlength=n_pairs)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["pair", "n"])
+
+    found = df.select(F.col(text_col).alias("text")).mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(n_pairs, dtype=np.int64)  # a row for each pair of the part's items, at most
+    counts[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return counts
+
+
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, score, start_word, end_word) for each document and item that leaks into it."""
+    named = lambda c: {"item": c["item"], "words": [" ".join(words(t)) for t in c["text"]]}
     tests = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    size = tests.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    # items of equal words are one; what they are dealt to parts by is their words
+    distinct = cut(arrow_map(tests, named, "item bigint, words string").where("words <> ''").groupBy("words").agg(F.min("item").alias("item")), "leak-items")
+    size = distinct.agg(F.sum(F.length("words")).alias("n")).first()["n"] or 0
     parts, out = -(-size // PART_CHARS), None
     for part in range(parts):
-        # items of a part by a hash of their text: equal items meet
-        own = tests if parts == 1 else tests.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
-        found = _part_leaks(df, Items([(r["item"], r["text"]) for r in own.collect()]), id_col, text_col)
+        own = distinct if parts == 1 else distinct.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == part)
+        found = _part_leaks(df, Items([(r["item"], r["words"].split(" ")) for r in own.collect()]), id_col, text_col)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return df.sparkSession.createDataFrame([], f"`{id_col}` bigint, item_id bigint, score double, start_word bigint, end_word bigint")
@@ -171,20 +258,20 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _part_leaks(df: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
-    held = cut(passages(df, items, id_col, text_col), "leak-passages")
-    # a count for each trigram of the part's items, at most
-    counts = {r["g"]: r["n"] for r in held.select(F.explode(F.array_distinct("grams")).alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect()}
-    seeds = choose_seeds(items, counts)
+    seeds = Seeds(items, pair_counts(df, items, text_col))
 
     def rows(c: dict) -> dict:
         out: dict[str, list] = {"id": [], "item_id": [], "score": [], "start_word": [], "end_word": []}
-        for i, first, w, places, grams in zip(*c.values(), strict=True):
-            for k, score, a, b in align(items, seeds, np.array(w, dtype=np.int64), places, grams):
-                for name, value in zip(out, (i, items.ids[k], score, first + a, first + b), strict=True):
+        before = 0
+        for w, starts in items.blocks(c["text"]):
+            for t, *leak in align(items, seeds, w, starts):
+                for name, value in zip(out, (c["id"][before + t], *leak), strict=True):
                     out[name].append(value)
+            before += len(starts) - 1
         return out
 
-    return arrow_map(held, rows, "id bigint, item_id bigint, score double, start_word bigint, end_word bigint")
+    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return arrow_map(own, rows, "id bigint, item_id bigint, score double, start_word bigint, end_word bigint")
 
 
 def remove_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -236,13 +236,66 @@ def test_decontamination_finds_edited_copies_and_leaves_others(spark) -> None:
     assert decontaminate.leaks(docs(spark, texts), bench.limit(0)).count() == 0 and decontaminate.leaks(docs(spark, []), bench).count() == 0
 
 
+def found_leaks(items: decontaminate.Items, texts: list[str]) -> dict[tuple[int, int], float]:
+    """Leaks of a corpus that consists of ``texts``, without Spark."""
+    blocks = list(items.blocks(texts))
+    counts = sum((np.bincount(items.hits(w)[1], minlength=len(items.pairs)) for w, _ in blocks), np.zeros(len(items.pairs), dtype=np.int64))
+    seeds, out, before = decontaminate.Seeds(items, counts), {}, 0
+    for w, starts in blocks:
+        out |= {(before + t, item): score for t, item, score, _, _ in decontaminate.align(items, seeds, w, starts)}
+        before += len(starts) - 1
+    return out
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([6, 60, 2000]), st.sampled_from([20, 300, 10**6]))
+def test_leaks_are_those_of_all_alignments(seed: int, n_words: int, block: int) -> None:
+    """Seeds lose no leak, whatever is changed, put in or left out, and however common the words are."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(n_words)]
+    own = {i: rng.choices(vocabulary, k=rng.randint(2, 30)) for i in range(6)}
+    own = {i: w for i, w in own.items() if w not in [own[j] for j in range(i)]}
+    texts = [[]]
+    for w in own.values():
+        every_third = ["new" if i % 3 == 2 else x for i, x in enumerate(w)]
+        between = [y for x in w for y in ((x, "new") if rng.random() < 0.7 else (x,))]
+        fewer = [x for x in w if rng.random() < 0.65]
+        edited = ["new" if rng.random() < 0.4 else x for x in w]
+        texts += [rng.choices(vocabulary, k=rng.randint(0, 20)) + x + rng.choices(vocabulary, k=rng.randint(0, 20)) for x in (w, every_third, between, fewer, edited)]
+    items = decontaminate.Items(list(own.items()))
+    want = {}
+    for t, (i, w) in itertools.product(range(len(texts)), own.items()):
+        points = plain_sw([items.vocabulary[x] for x in w], [items.vocabulary.get(x, -1) for x in texts[t]])
+        if points >= decontaminate.need(len(w)):
+            want[t, i] = points / (2 * len(w))
+    was, decontaminate.BLOCK = decontaminate.BLOCK, block
+    try:
+        assert found_leaks(items, [" ".join(x) for x in texts]) == want
+    finally:
+        decontaminate.BLOCK = was
+
+
+def test_edited_items_are_found() -> None:
+    rng = random.Random(5)
+    own = [(i, [f"w{rng.randrange(5000)}" for _ in range(rng.randint(15, 60))]) for i in range(100)]
+    items = decontaminate.Items(own)
+    for share in (0.2, 1 / 3, 0.4):
+        texts = []
+        for _, w in own:
+            changed = set(rng.sample(range(len(w)), round(share * len(w))))
+            texts.append(" ".join("new" if i in changed else x for i, x in enumerate(w)))
+        got = found_leaks(items, texts)
+        assert sum((i, i) in got for i in range(100)) >= 90 and all(t == i for t, i in got)
+
+
 def test_decontamination_in_parts_is_the_same(spark, monkeypatch) -> None:
     items = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(6)]
-    texts = [f"before {t} after" for t in items]
+    texts = [f"before {t} after" for t in items] + ["Alone!", "not alone"]
+    items += [items[0].upper(), items[1].replace(" ", ", ") + ".", "alone", "...", "Two words"]  # equal words count once, in whatever part
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     whole = sorted(map(tuple, decontaminate.leaks(docs(spark, texts), bench).collect()))
     monkeypatch.setattr(decontaminate, "PART_CHARS", 300)
-    assert sorted(map(tuple, decontaminate.leaks(docs(spark, texts), bench).collect())) == whole and len(whole) == 6
+    assert sorted(map(tuple, decontaminate.leaks(docs(spark, texts), bench).collect())) == whole and [r[:2] for r in whole] == [*((i, i) for i in range(6)), (6, 8)]
 
 
 def test_decontamination_on_odd_rows(spark) -> None:
