@@ -4,13 +4,21 @@ Fingerprints: words are runs of bytes other than ASCII white space, A-Z lower-ca
 words, repeats included (fewer words: the whole sequence); a bit is set if it is set in over half of the features'
 XXH64 (seed 42). Texts without words have fingerprint zero and are linked like any other.
 
-Links: distinct fingerprints at 3 or fewer differing bits. A vantage-point tree over a bounded sample cuts the space
-into shards: each node keeps a vantage point and a distance, points up to it go left and the others right. A
-fingerprint lives in one shard and visits, by the triangle bound, the later shards that can hold a point within 3
-bits of it, so each pair meets in exactly one shard. There a second tree, over all points of the shard, is searched by all its points
-and visitors at once. Where many points lie within 3 bits of a vantage point, they are linked to it and not compared
-with each other: that keeps every component and spares the square of a dense group. A shard returns a spanning star
-for each of its local components; components of all shards are joined by contraction.
+Links: distinct fingerprints at 3 or fewer differing bits. Vantage-point trees over a bounded sample cut the space into
+shards: a node keeps a vantage point and a distance, points up to it go left and the others right. A fingerprint lives
+in one shard of a tree and visits, by the triangle bound, the later shards that can hold a point within reach, so each
+pair meets in exactly one shard. In 64 dimensions most points lie near any border, and the visits of one tree grow
+with its depth (157 rows a point at 260 million points). So there may be several trees, one for each block of bits: a
+pair that differs in 3 bits differs in at most 1 in one of two halves, and in none in one of four quarters. The distance
+over a block is a distance too, with a smaller reach: its tree bounds by the block or by all bits, whichever is
+better at a node, and each link is found in one of the trees at least. The number of blocks (1, 2 or 4) is the one that
+sends the fewest rows, by the sample: at most about 4 a point, whatever their number. A shard that no vantage point
+cuts well is cut by hash instead, and its parts are compared two by two.
+
+In a shard a second tree, over all its points, is searched by all its points and visitors at once. Where many points
+lie within 3 bits of a vantage point, they are linked to it and not compared with each other: that keeps every
+component and spares the square of a dense group. A shard returns a spanning star for each of its local components;
+components of all shards are joined by contraction.
 
 Defined results: null text has no words; a null id keeps its row, but never names a component with other members;
 repeated ids are rows of their own; an empty table gives no rows.
@@ -18,8 +26,8 @@ repeated ids are rows of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
@@ -33,8 +41,16 @@ from lodestream.llm.components import components
 from lodestream.session import cut
 
 BITS = 3
-#: Fingerprints that live in one shard, about, and the most of a sample that the shards' tree is made from.
-SHARD_ROWS, SAMPLE = 16_000, 65_536
+#: Fingerprints that live in one shard, about, and the size of the sample that the shards' trees are made from.
+SHARD_ROWS, SAMPLE = 16_000, 262_144
+#: Points of the sample that a shard has at least, points that a cut is chosen by, and vantage points that are tried.
+FEWEST, SEEN, TRIED = 16, 4_096, 8
+#: What a row in the largest shard counts when the number of trees is chosen: the tasks that wait for it.
+WAITING = 8
+#: Points up to which one or two trees can send fewer rows than four.
+FEW = 1_000_000
+#: Share of a node's points near a border from which it isn't cut there, and the least share of the smaller side.
+NEAR, UNEVEN = 0.5, 0.1
 #: Points of a tree's leaf, and comparisons that are made at one time.
 LEAF, BLOCK = 64, 1 << 22
 #: Share of a node's points in one ball from which they are linked to its middle.
@@ -92,39 +108,116 @@ def bits_between(points: np.ndarray, v: np.uint64) -> np.ndarray:
 # --- the tree of shards -------------------------------------------------------------------------------------------
 
 
-def shard_tree(sample: np.ndarray, depth: int, rng: np.random.Generator, ids: Iterator[int]) -> tuple | int:
-    """(vantage, distance, left, right), or the number of a shard."""
-    if depth == 0 or len(sample) < 4:
-        return next(ids)
-    best = None
-    for v in rng.choice(sample, min(16, len(sample)), replace=False):
-        d = bits_between(sample, v)
-        for m in range(int(np.quantile(d, 0.35)), int(np.quantile(d, 0.65)) + 1):
-            left = int((d <= m).sum())
-            if 0 < left < len(sample):
-                cost = ((d > m - BITS) & (d <= m + BITS)).mean() + abs(left / len(sample) - 0.5)
-                if best is None or cost < best[0]:
-                    best = (cost, v, m)
+ALL = np.uint64((1 << 64) - 1)
+
+
+@dataclass(slots=True)
+class Node:
+    """A cut: points whose bits under ``mask`` differ from the vantage point's in ``most`` places or fewer go left."""
+
+    vantage: np.uint64
+    mask: np.uint64
+    reach: int
+    most: int
+    left: Node | Leaf
+    right: Node | Leaf
+
+    def distance(self, points: np.ndarray) -> np.ndarray:
+        return bits_between(points & self.mask, self.vantage & self.mask)
+
+
+@dataclass(slots=True)
+class Leaf:
+    """The shards from ``first`` on: one for each two of ``parts`` parts, by hash, of the points that live there."""
+
+    first: int
+    parts: int
+
+    def shard(self, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | int:
+        return self.first + a * self.parts + b
+
+
+def blocks(n: int) -> list[tuple[np.uint64, int]]:
+    """(mask, bits that a link may differ in there) of n blocks, of which a link keeps to the bound in one at least."""
+    width = 64 // n
+    return [(np.uint64(((1 << width) - 1) << (width * i)), BITS // n) for i in range(n)]
+
+
+def shard_tree(sample: np.ndarray, rows_each: float, block: tuple[np.uint64, int], rng: np.random.Generator, first: int = 0) -> tuple[Node | Leaf, int]:
+    """A tree for points of which ``sample`` stands for ``rows_each`` each, and the number after its last shard."""
+    best, target = None, max(SHARD_ROWS, FEWEST * rows_each)
+    large = len(sample) * rows_each > 1.5 * target
+    part = sample if len(sample) <= SEEN else rng.choice(sample, SEEN, replace=False)
+    for v in rng.choice(part, min(TRIED, len(part)), replace=False) if large else ():
+        for mask, reach in dict.fromkeys((block, (ALL, BITS))):
+            up_to = np.cumsum(np.bincount(bits_between(part & mask, v & mask), minlength=65))
+            left = up_to / len(part)
+            # what lives to the left and visits the right side
+            near = left - np.concatenate([np.zeros(reach), left[: len(left) - reach]])
+            cost = np.where((left >= UNEVEN) & (left <= 1 - UNEVEN) & (near <= NEAR), near + abs(left - 0.5) / 2, np.inf)
+            m = int(cost.argmin())
+            if np.isfinite(cost[m]) and (best is None or cost[m] < best[0]):
+                best = (cost[m], v, mask, reach, m)
     if best is None:
-        return next(ids)
-    _, v, m = best
-    near = bits_between(sample, v) <= m
-    return (v, m, shard_tree(sample[near], depth - 1, rng, ids), shard_tree(sample[~near], depth - 1, rng, ids))
-
-
-def visits(tree: tuple | int, points: np.ndarray, at: np.ndarray, home: np.ndarray, out: list) -> None:
-    """Appends (shard, places, lives there): where the points live, and what lies within BITS of them by the bounds."""
-    if not len(at):
-        return
-    if isinstance(tree, int):
-        out.append((tree, at, home))
-        return
-    v, m, left, right = tree
-    d = bits_between(points[at], v)
-    go = d - BITS <= m
-    visits(left, points, at[go], home[go] & (d <= m)[go], out)
-    go = d + BITS > m
-    visits(right, points, at[go], home[go] & (d > m)[go], out)
+        parts = max(1, round(len(sample) * rows_each / target)) if large else 1
+        return Leaf(first, parts), first + parts * parts
+    _, v, mask, reach, m = best
+    near = bits_between(sample & mask, v & mask) <= m
+    left, first = shard_tree(sample[near], rows_each, block, rng, first)
+    right, first = shard_tree(sample[~near], rows_each, block, rng, first)
+    return Node(v, mask, reach, m, left, right), first
+
+
+def visits(tree: Node | Leaf, points: np.ndarray) -> list[tuple[Leaf, np.ndarray, np.ndarray]]:
+    """(leaf, places, lives there): where the points live, and the later leaves that can hold a point within their reach."""
+    out, todo = [], [(tree, np.arange(len(points)), np.ones(len(points), dtype=bool))]
+    while todo:
+        node, at, home = todo.pop()
+        if not len(at):
+            continue
+        if isinstance(node, Leaf):
+            out.append((node, at, home))
+            continue
+        d = node.distance(points[at])
+        # what lives left visits the right side; a visitor, which lives before both, goes to either
+        go = d <= node.most
+        to_left = go | ~home & (d - node.reach <= node.most)
+        todo.append((node.left, at[to_left], (home & go)[to_left]))
+        to_right = d + node.reach > node.most
+        todo.append((node.right, at[to_right], (home & ~go)[to_right]))
+    return out
+
+
+def placed(tree: Node | Leaf, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(shards, places, lives there) of the points of one tree; in a shard each one that lives there meets all others."""
+    for leaf, at, home in visits(tree, points):
+        part = (((points[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(leaf.parts)).astype(np.int64)
+        for j in range(leaf.parts):
+            # part i lives in the shards (i, j) with j >= i; parts j > i and, where i = j, visitors come there
+            own = home & (part <= j)
+            yield leaf.shard(part[own], j), at[own], np.ones(int(own.sum()), dtype=bool)
+            later = home & (part > j)
+            yield leaf.shard(j, part[later]), at[later], np.zeros(int(later.sum()), dtype=bool)
+            visitors = ~home
+            yield np.full(int(visitors.sum()), leaf.shard(j, j)), at[visitors], np.zeros(int(visitors.sum()), dtype=bool)
+
+
+def shard_trees(sample: np.ndarray, n: int) -> list[Node | Leaf]:
+    """Trees for ``n`` points, as many as send the fewest rows of the sample and have no large shard."""
+    best = None
+    for k in (1, 2, 4) if n <= FEW else (4,):
+        trees, first, sent, largest = [], 0, 0, 0
+        for block in blocks(k):
+            tree, first = shard_tree(sample, n / max(1, len(sample)), block, np.random.default_rng(k), first)
+            trees.append(tree)
+            shards = [s for s, _, _ in placed(tree, sample)]
+            sent += sum(map(len, shards))
+            largest = max(largest, *np.unique(np.concatenate(shards), return_counts=True)[1].tolist()) if sent else 0
+        if best is None or sent + WAITING * largest < best[0]:
+            best = (sent + WAITING * largest, trees)
+        if first == k:  # a shard a tree
+            break
+    return best[1]
 
 
 # --- links within a shard -----------------------------------------------------------------------------------------
@@ -221,28 +314,24 @@ def shard_links(fps: np.ndarray, home: np.ndarray, seed: int = 0) -> tuple[np.nd
 def link_fingerprints(fps: DataFrame) -> DataFrame:
     """Edges (a, b) over the distinct fingerprints ``fps`` (fp long) with the components of all links."""
     n = fps.count()
-    depth = max(0, math.ceil(math.log2(max(1, n / SHARD_ROWS))))
-    sample = [r["fp"] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, 256 << depth)).collect()] if depth else []
-    tree = shard_tree(np.array(sample, dtype=np.int64).view(np.uint64), depth, np.random.default_rng(1), iter(range(1 << 40)))
+    part = F.xxhash64("fp").bitwiseAND((1 << 53) - 1) / float(1 << 53)
+    # SAMPLE rows, about, by a hash
+    sample = fps.where(part < SAMPLE / n).toPandas()["fp"].sort_values().to_numpy(np.int64).view(np.uint64) if n > SHARD_ROWS else np.zeros(0, dtype=np.uint64)
+    trees = shard_trees(sample, n)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             points = f["fp"].to_numpy(np.int64).view(np.uint64)
-            found: list = []
-            visits(tree, points, np.arange(len(points)), np.ones(len(points), dtype=bool), found)
-            where = np.full(len(points), -1)
-            for shard, at, home in found:
-                where[at[home]] = shard
-            for shard, at, home in found:
-                go = home | (shard > where[at])
-                yield pd.DataFrame({"shard": shard, "fp": points[at[go]].view(np.int64), "home": home[go]})
+            for tree in trees:
+                for shard, at, home in placed(tree, points):
+                    if len(at):
+                        yield pd.DataFrame({"shard": shard, "fp": points[at].view(np.int64), "home": home})
 
     def link(f: pd.DataFrame) -> pd.DataFrame:
         a, b = shard_links(f["fp"].to_numpy(np.int64).view(np.uint64), f["home"].to_numpy(bool))
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    placed = fps.mapInPandas(place, "shard int, fp bigint, home boolean")
-    return placed.groupBy("shard").applyInPandas(link, "a bigint, b bigint")
+    return fps.mapInPandas(place, "shard bigint, fp bigint, home boolean").groupBy("shard").applyInPandas(link, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

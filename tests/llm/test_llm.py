@@ -117,8 +117,12 @@ def test_simhash_equals_brute_force(spark) -> None:
     assert [got[i]["component_id"] for i in range(len(texts))] == plain_components(fps, list(range(len(texts))))
 
 
+@pytest.mark.parametrize("near", [-1, 0.5])
+@pytest.mark.parametrize("blocks", [1, 2, 4])
 @pytest.mark.parametrize("dense", [0, 900])
-def test_tree_of_shards_finds_all_links(dense: int) -> None:
+def test_trees_of_shards_find_all_links(dense: int, blocks: int, near: float, monkeypatch) -> None:
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 60)
+    monkeypatch.setattr(simhash, "NEAR", near)  # below zero: no cut is good enough, all is cut by hash
     rng = np.random.default_rng(dense)
     flips = lambda x, k: x ^ np.bitwise_or.reduce([np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64) for _ in range(k)])
     base = rng.integers(0, 2**64, 400, dtype=np.uint64)
@@ -128,17 +132,37 @@ def test_tree_of_shards_finds_all_links(dense: int) -> None:
     points = np.unique(np.concatenate(parts))
     q, p = np.nonzero(np.triu(np.bitwise_count(points[:, None] ^ points[None, :]) <= 3, 1))
     want = dict(zip(*map(np.ndarray.tolist, simhash.star(q, p)), strict=True))
-    found: list = []
-    simhash.visits(simhash.shard_tree(points, 4, np.random.default_rng(1), itertools.count()), points, np.arange(len(points)), np.ones(len(points), bool), found)
-    where, place, links = np.full(len(points), -1), {int(x): i for i, x in enumerate(points)}, simhash.Links()
-    for s, at, home in found:
-        where[at[home]] = s
-    assert (where >= 0).all()
-    for s, at, home in found:
-        go = home | (s > where[at])
-        a, b = simhash.shard_links(points[at[go]], home[go])
-        links.add(np.array([place[int(x)] for x in a], dtype=int), np.array([place[int(x)] for x in b], dtype=int))
+    links, place, first = simhash.Links(), {int(x): i for i, x in enumerate(points)}, 0
+    in_parts = 0
+    for block in simhash.blocks(blocks):
+        sample = rng.choice(points, len(points) // 2, replace=False)
+        tree, after = simhash.shard_tree(sample, 2.0, block, np.random.default_rng(1), first)
+        lives, sent = np.zeros(len(points), dtype=int), {}
+        for leaf, at, home in simhash.visits(tree, points):
+            lives[at[home]] += 1
+            in_parts += leaf.parts > 1
+        assert (lives == 1).all()  # in one leaf of each tree
+        for shard, at, home in simhash.placed(tree, points):
+            assert len(shard) == 0 or first <= shard.min() and shard.max() < after
+            for x in np.unique(shard):
+                sent.setdefault(int(x), []).append((at[shard == x], home[shard == x]))
+        for found in sent.values():
+            at, home = (np.concatenate(x) for x in zip(*found, strict=True))
+            assert len(np.unique(at)) == len(at)  # no point comes twice
+            a, b = simhash.shard_links(points[at], home)
+            links.add(np.array([place[int(x)] for x in a], dtype=int), np.array([place[int(x)] for x in b], dtype=int))
+        first = after
     assert dict(zip(*map(np.ndarray.tolist, links.forest()), strict=True)) == want
+    assert near > 0 or in_parts
+
+
+def test_rows_sent_do_not_grow_with_the_points() -> None:
+    rng = np.random.default_rng(3)
+    sample, sent = rng.integers(0, 2**64, 16_384, dtype=np.uint64), {}
+    for n in (10_000, 1_000_000, 260_000_000):
+        trees = simhash.shard_trees(sample, n)
+        sent[n] = sum(len(at) for tree in trees for _, at, _ in simhash.placed(tree, sample)) / len(sample)
+    assert sent[10_000] == 1 and sent[1_000_000] <= 4.5 and sent[260_000_000] <= 4.5
 
 
 def test_components_of_paths_stars_and_nothing(spark) -> None:
