@@ -6,6 +6,9 @@ grouped map over a day; identity across days is a fold over days, whose state is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,14 +24,25 @@ def with_simhash(items: DataFrame, title: str = "title") -> DataFrame:
 
 
 def first_fit(hashes: list[int], most: int) -> list[int]:
-    """The group of each item: the first one with any member within ``most`` bits, else a new one."""
-    groups: list[list[int]] = []
-    out = []
+    """The group of each item: the first one with any member within ``most`` bits, else a new one.
+
+    Of equal hashes only the first group matters, so copies are held once; an item is compared with all others at a time.
+    """
+    known, first, n = np.zeros(16, dtype=np.uint64), np.zeros(16, dtype=np.int64), 0
+    place: dict[int, int] = {}
+    out, groups = [], 0
     for h in hashes:
-        at = next((i for i, g in enumerate(groups) if any((h ^ m).bit_count() <= most for m in g)), len(groups))
-        if at == len(groups):
-            groups.append([])
-        groups[at].append(h)
+        near = first[:n][np.bitwise_count(known[:n] ^ np.uint64(h)) <= most]
+        if len(near):
+            at = int(near.min())
+        else:
+            at, groups = groups, groups + 1
+        if h in place:
+            first[place[h]] = min(at, int(first[place[h]]))
+        else:
+            if n == len(known):
+                known, first = np.concatenate([known, known]), np.concatenate([first, first])
+            known[n], first[n], place[h], n = h, at, n, n + 1
         out.append(at)
     return out
 
@@ -84,21 +98,24 @@ class Continuity:
     def step(self, day, groups: list[dict]) -> tuple[list[str], list[dict]]:
         """The ids of a day's groups (hash, title_tokens, first) in order, and the merge events; updates the state."""
         self.entries = [e for e in self.entries if (day - e["last_seen"]).days <= KEPT_DAYS]
-        taken: set[str] = set()
+        old = len(self.entries)
+        hashes = np.array([e["simhash"] for e in self.entries], dtype=np.uint64)
+        gaps = np.array([(day - e["last_seen"]).days for e in self.entries], dtype=np.int64)
+        free = np.ones(old, dtype=bool)  # entries made or met on this day match no other group of it
         ids, events = [], []
         for g in groups:
             match = None
-            for e in self.entries:
-                if e["cluster_id"] in taken:
-                    continue
-                bits, gap = (e["simhash"] ^ g["simhash"]).bit_count(), (day - e["last_seen"]).days
-                if gap <= NEAR_DAYS and bits <= NEAR:
+            away = np.bitwise_count(hashes ^ np.uint64(g["simhash"]))
+            for i in np.flatnonzero(free & (away <= np.where(gaps <= NEAR_DAYS, NEAR, FAR))).tolist():
+                e, bits, gap = self.entries[i], int(away[i]), int(gaps[i])
+                if gap <= NEAR_DAYS:
                     match = (e, "cross_near", bits, gap, None)
-                elif gap > NEAR_DAYS and bits <= FAR:
+                else:
                     best = max((self._jaccard(set(g["tokens"]), set(t)) for t in e["last_titles"]), default=0.0)
                     if best >= FAR_JACCARD:
                         match = (e, "cross_far", bits, gap, best)
                 if match:
+                    free[i] = False
                     break
             if match:
                 e, kind, bits, gap, jaccard = match
@@ -110,43 +127,72 @@ class Continuity:
                 e = {"cluster_id": f"k{self.next_id:06d}", "simhash": g["simhash"], "last_seen": day, "last_titles": [list(g["tokens"])], "first": g["first"]}
                 self.next_id += 1
                 self.entries.append(e)
-            taken.add(e["cluster_id"])
             ids.append(e["cluster_id"])
         return ids, events
 
 
-def continuity(clusters: DataFrame) -> DataFrame:
-    """Ids across days for (day, grp, rep_hash, title) rows, and how each one matched.
+#: A group of a day (kind null), and an entry of the state before it; an entry without an id carries the next one.
+FOLD_IN = "day date, grp int, rep_hash bigint, tokens array<string>, first string, titles array<array<string>>, cluster_id string, next_id bigint, entry int"
+FOLD_OUT = f"{FOLD_IN}, kind string, hamming bigint"
+
+
+def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One pass over a state's entries, then groups by day: the groups with their ids, then the entries of the state that they leave."""
+    state, held = Continuity(), None
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    names = [c.rsplit(" ", 1)[0] for c in FOLD_OUT.replace("array<array<string>>", "x").replace("array<string>", "x").split(", ")]
+
+    def ided(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("grp", kind="stable")
+        groups = [{"simhash": int(h) & ((1 << 64) - 1), "tokens": list(t), "first": x} for h, t, x in zip(f["rep_hash"], f["tokens"], f["first"], strict=True)]
+        ids, events = state.step(f["day"].iloc[0], groups)
+        by = {e["cluster_id"]: e for e in events}
+        kind = [by[i]["kind"] if i in by else "new" for i in ids]
+        bits = pd.array([by[i]["hamming"] if i in by else None for i in ids], dtype="Int64")
+        return f.assign(cluster_id=ids, kind=kind, hamming=bits)[names]
+
+    for frame in frames:
+        for r in frame[frame["entry"].notna()].itertuples():
+            if r.cluster_id is None:
+                state.next_id = int(r.next_id)
+            else:
+                state.entries.append({"cluster_id": r.cluster_id, "simhash": int(r.rep_hash) & ((1 << 64) - 1), "last_seen": r.day, "last_titles": [list(t) for t in r.titles], "first": r.first})
+        frame = frame[frame["entry"].isna()]
+        held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        last = held["day"].iloc[-1] if len(held) else None
+        for _, f in held[held["day"] != last].groupby("day", sort=True):
+            yield ided(f)
+        held = held[held["day"] == last]
+    if held is not None and len(held):
+        yield ided(held)
+    rows = [{"next_id": state.next_id, "entry": 0}]
+    rows += [{"day": e["last_seen"], "rep_hash": signed(e["simhash"]), "first": e["first"], "titles": e["last_titles"], "cluster_id": e["cluster_id"], "entry": i} for i, e in enumerate(state.entries, 1)]
+    out = pd.DataFrame(rows).reindex(columns=names)
+    whole = {c: pd.array([None if pd.isna(x) else int(x) for x in out[c]], dtype="Int64") for c in ("grp", "rep_hash", "next_id", "entry", "hamming")}
+    yield out.assign(**whole).astype({c: object for c in ("day", "tokens", "first", "titles", "cluster_id", "kind")}).where(out.notna(), None)
+
+
+def fold_days(groups: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """FOLD_OUT rows of (day, grp, rep_hash, tokens, first) groups, after the entries of an earlier fold's state.
 
     The fold is sequential by nature: one task goes through the days in order. What it holds is the state, which
-    the retention bounds, and one day.
+    the retention bounds, and one day; a group is compared with all entries at a time.
     """
-    rows = clusters.select("day", "grp", "rep_hash", F.col("rep.title").alias("title"), F.array_sort(title_tokens(F.col("rep.title"))).alias("tokens"), F.col("first.h").alias("first"))
-
-    def run(frames):
-        state = Continuity()
-
-        def out(f: pd.DataFrame) -> pd.DataFrame:
-            f = f.sort_values("grp", kind="stable")
-            groups = [{"simhash": int(h) & ((1 << 64) - 1), "tokens": list(t), "first": x} for h, t, x in zip(f["rep_hash"], f["tokens"], f["first"], strict=True)]
-            ids, events = state.step(f["day"].iloc[0], groups)
-            by = {e["cluster_id"]: e for e in events}
-            kind = [by[i]["kind"] if i in by else "new" for i in ids]
-            bits = [by[i]["hamming"] if i in by else None for i in ids]
-            return pd.DataFrame({"day": f["day"], "grp": f["grp"], "cluster_id": ids, "kind": kind, "hamming": pd.array(bits, dtype="Int64")})
-
-        held = None
-        for frame in frames:
-            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            last = held["day"].iloc[-1] if len(held) else None
-            for _, f in held[held["day"] != last].groupby("day", sort=True):
-                yield out(f)
-            held = held[held["day"] == last]
-        if held is not None and len(held):
-            yield out(held)
-
-    ordered = rows.coalesce(1).sortWithinPartitions("day", "grp")
-    return ordered.mapInPandas(run, "day date, grp int, cluster_id string, kind string, hamming bigint")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = groups.select("day", "grp", "rep_hash", "tokens", "first", none("array<array<string>>").alias("titles"), none("string").alias("cluster_id"), none("bigint").alias("next_id"), none("int").alias("entry"))
+    if state is not None:
+        rows = rows.unionByName(state.select(*rows.columns))
+    return rows.coalesce(1).sortWithinPartitions(F.col("entry").asc_nulls_last(), "day", "grp").mapInPandas(fold, FOLD_OUT)
+
+
+def group_rows(clusters: DataFrame) -> DataFrame:
+    """(day, grp, rep_hash, tokens, first) of day clusters."""
+    return clusters.select("day", "grp", "rep_hash", F.array_sort(title_tokens(F.col("rep.title"))).alias("tokens"), F.col("first.h").alias("first"))
+
+
+def continuity(clusters: DataFrame) -> DataFrame:
+    """Ids across days for (day, grp, rep_hash, title) rows, and how each one matched."""
+    return fold_days(group_rows(clusters)).where("entry IS NULL").select("day", "grp", "cluster_id", "kind", "hamming")
 
 
 def shrink_guard(before: int, after: int, pruned: int, most: float = 0.3) -> None:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.operators.components import components
 from lodestream.session import cut
 
 
@@ -46,20 +47,11 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance
     return ranks
 
 
-def connected_components(edges: DataFrame, most: int = 100) -> DataFrame:
-    """(node, component), the least name of each component, by labels that pass along edges and jump."""
-    both = cut(endpoints(edges).select("node", "other"), "cc-edges")
-    labels = both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component"))
-    labels = cut(labels, "cc-labels")
-    for _ in range(most):
-        near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = cut(step.join(jump, "component", "left").select("node", F.least(F.coalesce("next", "component"), "component").alias("component"), "was"), "cc-labels")
-        labels = new.select("node", "component")
-        if not new.where("component <> was").limit(1).count():
-            break
-    return labels
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component), the least name of each component; contraction goes on until no edge is left."""
+    rooted = components(edges.select("a", "b"))
+    least = rooted.groupBy("root").agg(F.min("node").alias("component"))
+    return rooted.join(least, "root").select("node", "component")
 
 
 def triangles(edges: DataFrame) -> DataFrame:

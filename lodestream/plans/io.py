@@ -122,15 +122,12 @@ def stream_velocities(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def stream_continuity(spark: SparkSession, sf: str) -> DataFrame:
     """D3 on a stream: the same ids as the batch fold's (tests compare them)."""
-    from lodestream.functions.text import title_tokens
+    from lodestream.operators.dedupe import group_rows
     from lodestream.plans.graphs import _clusters
 
-    rows = _clusters(spark, sf).select("day", "grp", "rep_hash", F.array_sort(title_tokens(F.col("rep.title"))).alias("tokens"), F.col("first.h").alias("first"))
+    rows = group_rows(_clusters(spark, sf))
     path = f"{shared_dir(spark)}/clusters-{uuid.uuid4().hex}"
     rows.coalesce(1).write.parquet(path)
-    out: list[tuple] = []
-    q = spark.readStream.schema(rows.schema).parquet(path).writeStream.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).foreachBatch(twins.continuity_writer(out.extend)).start()
+    q = spark.readStream.schema(rows.schema).parquet(path).writeStream.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).foreachBatch(twins.continuity_writer(f"{path}-ids")).start()
     q.awaitTermination()
-    return spark.createDataFrame([(d, int(g), c) for d, g, c in out], "day date, grp int, cluster_id string")
-
-
+    return twins.continuity_ids(spark, f"{path}-ids")

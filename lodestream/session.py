@@ -26,13 +26,50 @@ def session(app: str = "lodestream", master: str | None = None, shuffle_partitio
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without it a local master gets a local one, a cluster an error.
+
+    Executors would each write to a folder of their own machine, and reading it back would give a part of the rows.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = os.path.join(tempfile.gettempdir(), "lodestream-checkpoints")
     return root.rstrip("/")
 
 
+def switch(spark: SparkSession, aside: str, path: str) -> None:
+    """Puts the written table ``aside`` in the place of ``path`` by renames; what was there stays as ``path``.old until then.
+
+    A run that stops between the two renames leaves the old table under that name: ``settle`` brings it back.
+    """
+    fs, name = _files(spark, path)
+    settle(spark, path)
+    if fs.exists(name(path)):
+        fs.rename(name(path), name(f"{path}.old"))
+    if not fs.rename(name(aside), name(path)):
+        settle(spark, path)
+        raise OSError(f"{aside} could not be renamed to {path}")
+    fs.delete(name(f"{path}.old"), True)
+
+
+def settle(spark: SparkSession, path: str) -> bool:
+    """Ends a switch that was interrupted; whether there is a table at ``path``."""
+    fs, name = _files(spark, path)
+    if fs.exists(name(f"{path}.old")):
+        if fs.exists(name(path)):
+            fs.delete(name(f"{path}.old"), True)
+        else:
+            fs.rename(name(f"{path}.old"), name(path))
+    return bool(fs.exists(name(path)))
+
+
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.hadoop.fs.Path
+    return name(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), name
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later stages start from files, not from lineage."""
     spark = df.sparkSession

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.operators.ledger import guard_terms, upsert
+from lodestream.session import settle, switch
 
 
 def replace_partitions(df: DataFrame, path: str, by: str = "day") -> None:
@@ -15,18 +14,17 @@ def replace_partitions(df: DataFrame, path: str, by: str = "day") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def upsert_path(spark: SparkSession, df: DataFrame, path: str, keys: list[str], shared: str) -> None:
-    """Rows at ``path`` with a key of ``df`` go, ``df`` comes; written aside first, since it reads what it replaces."""
-    try:
-        old = spark.read.schema(df.schema).parquet(path)
-        merged = upsert(old, df, keys)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        merged = df
-    aside = f"{shared}/upsert-{uuid.uuid4().hex}"
-    merged.write.parquet(aside)
-    spark.read.schema(df.schema).parquet(aside).write.mode("overwrite").parquet(path)
+def upsert_path(spark: SparkSession, df: DataFrame, path: str, keys: list[str]) -> None:
+    """Rows at ``path`` with a key of ``df`` go, ``df`` comes. The new table is written beside the old one and takes its place by renames."""
+    merged = upsert(spark.read.schema(df.schema).parquet(path), df, keys) if settle(spark, path) else df
+    replace_table(merged, path)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """``df``, which may read what is at ``path``, takes its place as one step; a run that fails before leaves the old table."""
+    aside = f"{path}.new"
+    df.write.mode("overwrite").parquet(aside)
+    switch(df.sparkSession, aside, path)
 
 
 def flatten_members(clusters: DataFrame) -> DataFrame:

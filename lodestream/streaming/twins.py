@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestream.operators.dedupe import Continuity
+from lodestream.operators.dedupe import FOLD_IN, FOLD_OUT, fold_days
 
 
 def windowed_counts(stream: DataFrame, key: str, at: str = "ts", size: str = "1 day", late: str = "7 days") -> DataFrame:
@@ -49,20 +49,26 @@ def velocities(stream: DataFrame, key: str, day: str = "day") -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {day} {kinds[day]}, n bigint, velocity double", "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def continuity_writer(sink):  # noqa: ANN001, ANN201
-    """D3 on a stream of day clusters: a foreachBatch function that keeps one Continuity and hands each batch's ids to ``sink``.
+def continuity_writer(root: str) -> Callable[[DataFrame, int], None]:
+    """D3 on a stream of day clusters: a foreachBatch function that writes each batch's ids to ``root``/ids/batch=i.
 
-    A batch's days go through in order. The state lives in the query's driver, as its retention bounds it.
+    The state is a table for each batch, beside the ids: a batch starts from the state that the one before it has left,
+    whatever process writes it, and a batch that is run again overwrites its own ids and state with equal ones. So ids
+    go on after a restart from the query's checkpoint. A batch's days go through in order, in one task.
     """
-    state = Continuity()
 
-    def batch(df: DataFrame, _: int) -> None:
-        rows = df.select("day", "grp", "rep_hash", "tokens", "first").orderBy("day", "grp").toPandas()  # a batch of a few days
-        out = []
-        for day, f in rows.groupby("day", sort=True):
-            groups = [{"simhash": int(h) & ((1 << 64) - 1), "tokens": list(t), "first": x} for h, t, x in zip(f["rep_hash"], f["tokens"], f["first"], strict=True)]
-            ids, _events = state.step(day, groups)
-            out += list(zip(f["day"], f["grp"], ids, strict=True))
-        sink(out)
+    def batch(df: DataFrame, i: int) -> None:
+        spark = df.sparkSession
+        state = spark.read.schema(FOLD_IN).parquet(f"{root}/state/batch={i - 1}") if i else None
+        aside = f"{root}/fold/batch={i}"
+        fold_days(df, state).write.mode("overwrite").parquet(aside)
+        folded = spark.read.schema(FOLD_OUT).parquet(aside)
+        folded.where("entry IS NULL").select("day", "grp", "cluster_id").write.mode("overwrite").parquet(f"{root}/ids/batch={i}")
+        folded.where("entry IS NOT NULL").select(*spark.createDataFrame([], FOLD_IN).columns).write.mode("overwrite").parquet(f"{root}/state/batch={i}")
 
     return batch
+
+
+def continuity_ids(spark: SparkSession, root: str) -> DataFrame:
+    """The ids that a ``continuity_writer`` has written."""
+    return spark.read.schema("day date, grp int, cluster_id string").parquet(f"{root}/ids/*")

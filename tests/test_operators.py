@@ -109,6 +109,53 @@ def test_stream_and_batch_continuity_agree(spark) -> None:
     assert batch == stream and batch
 
 
+def test_stream_identity_goes_on_after_a_restart_and_a_repeated_batch(spark, tmp_path) -> None:
+    from lodestream.streaming import twins
+
+    d, rng = days(*range(0, 120, 4)), random.Random(9)
+    base = [rng.getrandbits(63) for _ in range(6)]
+    rows = [(day, g, rng.choice(base) ^ (1 << rng.randrange(60)), [f"t{rng.randrange(5)}"], "x") for day in d for g in range(3)]
+    groups = lambda part: spark.createDataFrame(part, "day date, grp int, rep_hash bigint, tokens array<string>, first string")
+    want = {(r["day"], r["grp"]): r["cluster_id"] for r in dd.fold_days(groups(rows)).where("entry IS NULL").collect()}
+    for i in (0, 1, 1, 2, 2):  # a new writer each time, as after a restart; batches 1 and 2 are run again
+        twins.continuity_writer(str(tmp_path))(groups(rows[i * 30 : (i + 1) * 30]), i)
+    got = {(r["day"], r["grp"]): r["cluster_id"] for r in twins.continuity_ids(spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 90 and 6 <= len(set(got.values())) < 60
+
+
+def test_identity_equals_a_plain_fold(spark) -> None:
+    """The step over all entries at a time against one that looks at each entry in turn."""
+    rng, d = random.Random(11), days(*sorted({0, *[random.Random(k).randrange(300) for k in range(60)]}))
+    base = [rng.getrandbits(64) for _ in range(5)]
+    state, plain, next_id = dd.Continuity(), [], 1
+    for day in d:
+        groups = []
+        for _ in range(rng.randrange(4)):
+            h = rng.choice(base)
+            for _ in range(rng.randrange(9)):
+                h ^= 1 << rng.randrange(64)
+            groups.append({"simhash": h, "tokens": rng.sample("abcdefg", 3), "first": "x"})
+        ids, _ = state.step(day, groups)
+        plain = [e for e in plain if (day - e["seen"]).days <= 90]
+        taken, want = set(), []
+        for g in groups:
+            for e in plain:
+                bits, gap = (e["h"] ^ g["simhash"]).bit_count(), (day - e["seen"]).days
+                alike = max(len(set(t) & set(g["tokens"])) / len(set(t) | set(g["tokens"])) for t in e["titles"])
+                if e["id"] not in taken and (bits <= 8 if gap <= 30 else bits <= 6 and alike >= 0.4):
+                    e["seen"] = day
+                    if g["tokens"] not in e["titles"]:
+                        e["titles"] = [*e["titles"], g["tokens"]][-3:]
+                    break
+            else:
+                e = {"id": f"k{next_id:06d}", "h": g["simhash"], "seen": day, "titles": [g["tokens"]]}
+                next_id += 1
+                plain.append(e)
+            taken.add(e["id"])
+            want.append(e["id"])
+        assert ids == want
+
+
 def test_shrink_guard() -> None:
     dd.shrink_guard(100, 75, 0)
     dd.shrink_guard(100, 60, 20)
@@ -295,15 +342,42 @@ def test_jsonl_skips_broken_lines(spark, tmp_path) -> None:
 
 
 def test_upsert_twice_changes_nothing(spark, tmp_path) -> None:
-    path, shared = str(tmp_path / "t"), str(tmp_path / "shared")
+    path = str(tmp_path / "t")
     first = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
     patch = spark.createDataFrame([("b", 2), ("c", 2)], "k string, v int")
-    sinks.upsert_path(spark, first, path, ["k"], shared)
+    sinks.upsert_path(spark, first, path, ["k"])
     for _ in range(2):
-        sinks.upsert_path(spark, patch, path, ["k"], shared)
+        sinks.upsert_path(spark, patch, path, ["k"])
         assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1), ("b", 2), ("c", 2)]
 
 
+def test_a_table_survives_a_replacement_that_stops(spark, tmp_path) -> None:
+    path = str(tmp_path / "t")
+    sinks.replace_table(spark.range(3), path)
+
+    def fails(frames):  # noqa: ANN001, ANN202
+        yield from frames
+        raise OSError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        sinks.replace_table(spark.range(5).mapInPandas(fails, "id bigint"), path)
+    assert spark.read.parquet(path).count() == 3
+    (tmp_path / "t").rename(tmp_path / "t.old")  # stopped between the two renames
+    sinks.upsert_path(spark, spark.createDataFrame([(9,)], "id bigint"), path, ["id"])
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [0, 1, 2, 9] and not (tmp_path / "t.old").exists()
+
+
+def test_a_cluster_needs_a_shared_folder() -> None:
+    from types import SimpleNamespace
+
+    from lodestream.session import shared_dir
+
+    on = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(on("local[2]"))
+    with pytest.raises(ValueError):
+        shared_dir(on("spark://host:7077"))
+
+
 def test_export_manifest_and_counts(spark, tmp_path) -> None:
     counts = sinks.export_tables({"t": (spark.range(5), ["id"])}, str(tmp_path))
     sinks.verify_counts(spark, str(tmp_path), counts)
@@ -345,8 +419,9 @@ def test_boundary_calls_batches_and_gives_up(spark) -> None:
             raise OSError("down")
         return batch[["id"]]
 
-    left = boundary.call_in_batches(spark.range(12).coalesce(1), fails, "id bigint", size=2, tries=2, wait=0.01)
-    assert sorted(r["id"] for r in left.collect()) == [0, 1, 2, 3]
+    left = boundary.call_in_batches(spark.range(12).coalesce(1), fails, "id bigint", "id", size=2, tries=2, wait=0.01)
+    said = {r["id"]: r["error"] for r in left.collect()}
+    assert len(said) == 12 and [said[i] for i in range(4)] == [None] * 4 and [said[i] for i in range(4, 8)] == ["OSError: down"] * 4 and all("not called" in said[i] for i in range(8, 12))
 
 
 def test_seed_twice_changes_nothing(spark) -> None:
