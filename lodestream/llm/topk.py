@@ -1,12 +1,14 @@
 """Exact top-k by inner product through distributed histogram selection.
 
 Vectors become integers, floor(scale * x). The stated queries are taken in chunks of bounded size; each chunk is sent
-to the tasks, which score it against the candidates where they lie: candidates are never shuffled. Rounds of
-histograms, summed over all tasks, narrow the interval that holds each query's kth value, until it is one integer.
-A last pass keeps the scores above it and, of the ties at it, the least ids; the ranks are cut after that.
+to the tasks, which score it against the candidates where they lie: candidates are never shuffled. A first pass gives
+the interval that holds each query's kth value: it is no less than the kth value of any task's own candidates, and no
+more than the greatest score. Rounds of histograms over that interval, summed over all tasks, narrow it until it is one
+integer. A last pass keeps the scores above it and, of the ties at it, the least ids; the ranks are cut after that.
 
-No round sends more than a row for each query and bin from a task. Ties are cut to the k least ids within each task, which the
-k least of all ties are among, so that one vector that a third of the rows share adds little.
+The first pass sends a row for each query from a task, and a round no more than a row for each query and bin that holds
+a score of the interval, which few do. Ties are cut to the k least ids within each task, which the k least of all ties
+are among, so that one vector that a third of the rows share adds little.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; a vector is scored
 against those of its own length; rows with one id are candidates each, and only a query's own row is left out; a null id
@@ -22,8 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import small_batches
-from lodestream.session import cut
+from lodestream.session import cut, reach
 
 #: Queries sent at one time and scored at one time; bins of a histogram.
 CHUNK, TILE, BINS = 16_384, 1_024, 128
@@ -55,6 +56,31 @@ def products(q: np.ndarray, c: np.ndarray, bound: float) -> np.ndarray:
     return np.clip(a.dot(b.T), -_LONG, _LONG).astype(np.int64)
 
 
+def _unsigned(x: np.ndarray) -> np.ndarray:
+    return x.view(np.uint64)
+
+
+def _interval(same: DataFrame, sent, n: int, k: int, bound: float, top: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """The greatest kth value that any task has among its own candidates, and the greatest score; -top where there is none."""
+    none = np.iinfo(np.int64).min  # below every score
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, _, q = sent.value
+        held = np.full((len(own), k), none)
+        for f in frames:
+            c, at = _matrix(f["v"]), f["row"].to_numpy(np.int64)
+            for i in range(0, len(own), TILE):
+                s = slice(i, i + TILE)
+                score = np.where(own[s, None] == at[None, :], none, products(q[s], c, bound))
+                held[s] = np.partition(np.concatenate([held[s], score], axis=1), -k, axis=1)[:, -k:]
+        yield pd.DataFrame({"q": np.arange(len(own), dtype=np.int32), "low": held.min(axis=1), "high": held.max(axis=1)})
+
+    found = same.select("row", "v").mapInPandas(best, "q int, low bigint, high bigint").groupBy("q").agg(F.max("low").alias("low"), F.max("high").alias("high")).toPandas()  # a row for each query
+    low, high = np.full(n, none), np.full(n, none)
+    low[found["q"].to_numpy()], high[found["q"].to_numpy()] = found["low"].to_numpy(np.int64), found["high"].to_numpy(np.int64)
+    return np.maximum(low, -top), np.maximum(high, -top)
+
+
 def _matrix(batch: pd.Series) -> np.ndarray:
     return np.array(batch.tolist(), dtype=np.float64)
 
@@ -62,7 +88,7 @@ def _matrix(batch: pd.Series) -> np.ndarray:
 def top_k(df: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` highest scores, ties to the smaller id. ``is_query``: a condition on ``id``."""
     spark = df.sparkSession
-    small_batches(spark)
+    reach(spark)
     rows = integer_vectors(df, scale, id_col, vector_col)
     shapes = rows.groupBy(F.size("v").alias("dim")).agg(F.max(F.expr("aggregate(v, 0D, (m, x) -> greatest(m, abs(x)))")).alias("most")).collect()  # a row for each length
     out = None
@@ -92,11 +118,11 @@ def _chunk(same: DataFrame, asked: DataFrame, k: int, bound: float) -> DataFrame
     queries = asked.toPandas()  # CHUNK rows, about
     sent = spark.sparkContext.broadcast((queries["row"].to_numpy(np.int64), queries["id"].to_numpy(np.int64), _matrix(queries["v"]) if len(queries) else np.zeros((0, 1))))
     n = len(queries)
-    top = int(min(bound, _LONG // 2))
-    low, high = np.full(n, -top), np.full(n, top)  # the kth value lies in low..high
+    top = int(min(bound, _LONG))
+    low, high = _interval(same, sent, n, k, bound, top)  # the kth value lies in low..high
     above = np.zeros(n, dtype=np.int64)  # scores over high
     while n and (high > low).any():
-        width = -(-(high - low + 1) // BINS)
+        width = _unsigned(high - low) // BINS + 1  # differences of longs, as unsigned ones, don't overflow
         state = spark.sparkContext.broadcast((low, high, width))
 
         def histogram(frames: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
@@ -108,7 +134,7 @@ def _chunk(same: DataFrame, asked: DataFrame, k: int, bound: float) -> DataFrame
                     s = slice(i, i + TILE)
                     score = products(q[s], c, bound)
                     inside = (score >= lo[s, None]) & (score <= hi[s, None]) & (own[s, None] != at[None, :])
-                    key = (score - lo[s, None]) // w[s, None] + (np.arange(len(own))[s] * BINS)[:, None]
+                    key = (_unsigned(score - lo[s, None]) // w[s, None]).astype(np.int64) + (np.arange(len(own))[s] * BINS)[:, None]
                     counts += np.bincount(key[inside], minlength=len(counts))
             full = np.flatnonzero(counts)
             yield pd.DataFrame({"q": full // BINS, "bin": full % BINS, "n": counts[full]})
@@ -119,9 +145,9 @@ def _chunk(same: DataFrame, asked: DataFrame, k: int, bound: float) -> DataFrame
         at = sums.withColumn("over", over).join(need, "q").where("over >= need and over - n < need").select("q", "bin", (F.col("over") - F.col("n")).alias("above")).toPandas()  # a row for each query
         hit = at["q"].to_numpy(np.int64)
         rest = np.setdiff1d(np.arange(n), hit)  # fewer than k candidates: all of them count
-        b, w = at["bin"].to_numpy(np.int64), width[hit]
+        b, w, span = at["bin"].to_numpy(np.uint64), width[hit], _unsigned(high[hit] - low[hit])
         above[hit] += at["above"].to_numpy(np.int64)
-        low[hit], high[hit] = low[hit] + b * w, np.minimum(low[hit] + (b + 1) * w - 1, high[hit])
+        low[hit], high[hit] = low[hit] + (b * w).view(np.int64), low[hit] + np.minimum(b * w + (w - np.uint64(1)), span).view(np.int64)
         low[rest] = high[rest] = -top
     kth = spark.sparkContext.broadcast(low)
 
