@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import small_batches
 from lodestream.llm.template import Sink, compile_template
+from lodestream.session import reach
 
 TEMPLATE = (
     "<s>{% for m in messages %}<|{{ m.role | escape_control }}|>\n"
@@ -95,7 +95,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _ordered(df: DataFrame) -> DataFrame:
-    small_batches(df.sparkSession)
+    reach(df.sparkSession)
     own = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 

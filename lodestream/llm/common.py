@@ -17,9 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """``df`` mapped by ``rows``, which takes and returns columns as Python lists, at most SLICE rows at a time.
 
-    The slices bound what a worker holds as Python objects; the session's Arrow batches are made no larger than BATCH.
+    The slices bound what a worker holds as Python objects.
     """
-    small_batches(df.sparkSession)
+    reach(df.sparkSession)
     from pyspark.sql.types import _parse_datatype_string
 
     target = pa_schema(_parse_datatype_string(schema))
@@ -34,16 +34,9 @@ def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
-#: Rows that are Python objects at one time, and of an Arrow batch at most: texts can be long.
+#: Rows that are Python objects at one time: texts can be long. Arrow batches are bounded by their bytes
+#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set).
 SLICE = 500
-BATCH = 2_000
-
-
-def small_batches(spark: SparkSession) -> None:
-    reach(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH:
-        spark.conf.set(key, str(BATCH))
 
 
 def pa_schema(struct) -> pa.Schema:

@@ -35,8 +35,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import SLICE, arrow_map, small_batches
-from lodestream.session import cut
+from lodestream.llm.common import SLICE, arrow_map
+from lodestream.session import cut, reach
 
 WORD, WORD_WITHOUT_MARKS, MARK = regex.compile(r"[\p{L}\p{N}\p{M}]+"), re.compile(r"[^\W_]+"), regex.compile(r"\p{M}")
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -221,7 +221,7 @@ def align(items: Items, seeds: Seeds, w: np.ndarray, starts: np.ndarray) -> list
 
 def pair_counts(df: DataFrame, items: Items, text_col: str) -> np.ndarray:
     """How often each pair of the items stands in the texts; a task returns a row for each pair that it has met."""
-    small_batches(df.sparkSession)
+    reach(df.sparkSession)
     n_pairs = len(items.pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,8 @@ its bytes, filters of several widths, a maximum over places and a softmax. The p
 its windows, weighted by their bytes; all windows of a text count.
 
 Training takes a sample of labelled texts, PER_LANG for each language at most (chosen by a hash of the id, so that it
-is the same in each run), and WINDOWS windows of each.
+is the same in each run), and WINDOWS windows of each; the LANGS most frequent languages are learnt, so that a column
+of dirty labels neither floods the driver nor the network.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is every text if no labelled text
 may be learnt from; repeated rows get equal results; rows without an id are never learnt from.
@@ -25,6 +26,8 @@ from lodestream.llm.common import arrow_map
 LENGTH, WIDTHS, FILTERS, DIM = 128, (2, 3, 4, 5), 8, 4
 #: Texts of each language and windows of each text that are learnt from, at most.
 PER_LANG, WINDOWS = 400, 6
+#: Languages that are learnt, at most.
+LANGS = 500
 EPOCHS, RATE, AT_ONCE = 8, 0.01, 64
 UND = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -61,16 +64,16 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _columns(emb: np.ndarray, x: np.ndarray) -> np.ndarray:
     """For each window and place, the embeddings of the _WIDEST bytes from there, zeros beyond the window."""
-    e = np.zeros((len(x), LENGTH + _WIDEST - 1, DIM), dtype=np.float32)
+    e = np.zeros((len(x), LENGTH + _WIDEST - 1, DIM), dtype=emb.dtype)
     e[:, :LENGTH] = emb[x]
     return np.concatenate([e[:, k : k + LENGTH] for k in range(_WIDEST)], axis=2)
 
 
-def forward(net: Network, x: np.ndarray) -> np.ndarray:
+def forward(net: Network, x: np.ndarray, kind: type = np.float32) -> np.ndarray:
     """Probabilities of each window."""
     out = np.empty((len(x), len(net.langs)))
     for i in range(0, len(x), 256):
-        cols = _columns(net.emb, x[i : i + 256])
+        cols = _columns(net.emb.astype(kind, copy=False), x[i : i + 256])
         pooled = (cols.reshape(-1, cols.shape[2]) @ net.conv).reshape(len(cols), LENGTH, -1).max(axis=1)
         z = np.maximum(pooled + net.bias, 0) @ net.out + net.out_bias
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -78,44 +81,49 @@ def forward(net: Network, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def start(n_langs: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """Embedding, filters, their bias, output weights and bias before training."""
+    mask, n_out = _mask(), len(WIDTHS) * FILTERS
+    p = [rng.normal(0, 0.5, (256, DIM)), rng.normal(0, 0.3, mask.shape) * mask, np.zeros(n_out), rng.normal(0, 0.3, (n_out, n_langs)), np.zeros(n_langs)]
+    return [a.astype(np.float32) for a in p]
+
+
+def gradients(p: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean cross-entropy of windows ``x`` with language numbers ``y``, for each array of ``p``."""
+    n_out = p[1].shape[1]
+    cols = _columns(p[0], x)
+    act = (cols.reshape(-1, cols.shape[2]) @ p[1]).reshape(len(x), LENGTH, -1)
+    best = act.argmax(axis=1)
+    pooled = np.take_along_axis(act, best[:, None, :], axis=1)[:, 0] + p[2]
+    hidden = np.maximum(pooled, 0)
+    z = hidden @ p[3] + p[4]
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    dz = z / z.sum(axis=1, keepdims=True)
+    dz[np.arange(len(y)), y] -= 1
+    dz /= len(y)
+    dh = (dz @ p[3].T) * (pooled > 0)
+    # only the place of each maximum passes its gradient on
+    at = np.take_along_axis(cols, best[:, :, None], axis=1)  # windows x filters x inputs
+    d_conv = np.einsum("bf,bfi->if", dh, at) * _mask()
+    d_in = (dh[:, :, None] * p[1].T[None]).reshape(len(x), n_out, _WIDEST, DIM)
+    places = best[:, :, None] + np.arange(_WIDEST)
+    inside = places < LENGTH
+    byte = np.take_along_axis(x, np.minimum(places, LENGTH - 1).reshape(len(x), -1), axis=1).reshape(places.shape)
+    d_emb = np.zeros_like(p[0])
+    np.add.at(d_emb, byte[inside], d_in[inside])
+    return [d_emb, d_conv, dh.sum(axis=0), hidden.T @ dz, dz.sum(axis=0)]
+
+
 def train(x: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 0, epochs: int = EPOCHS) -> Network:
     """Adam on the cross-entropy of windows ``x`` with language numbers ``y``."""
-    rng, mask, n_out = np.random.default_rng(seed), _mask(), len(WIDTHS) * FILTERS
-    p = [
-        rng.normal(0, 0.5, (256, DIM)),
-        rng.normal(0, 0.3, mask.shape) * mask,
-        np.zeros(n_out),
-        rng.normal(0, 0.3, (n_out, len(langs))),
-        np.zeros(len(langs)),
-    ]
-    p = [a.astype(np.float32) for a in p]
+    rng = np.random.default_rng(seed)
+    p = start(len(langs), rng)
     m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for i in range(0, len(order), AT_ONCE):
-            xb, yb = x[order[i : i + AT_ONCE]], y[order[i : i + AT_ONCE]]
-            cols = _columns(p[0], xb)
-            act = (cols.reshape(-1, cols.shape[2]) @ p[1]).reshape(len(xb), LENGTH, -1)
-            best = act.argmax(axis=1)
-            pooled = np.take_along_axis(act, best[:, None, :], axis=1)[:, 0] + p[2]
-            hidden = np.maximum(pooled, 0)
-            z = hidden @ p[3] + p[4]
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            dz = z / z.sum(axis=1, keepdims=True)
-            dz[np.arange(len(yb)), yb] -= 1
-            dz /= len(yb)
-            dh = (dz @ p[3].T) * (pooled > 0)
-            # only the place of each maximum passes its gradient on
-            at = np.take_along_axis(cols, best[:, :, None], axis=1)  # windows x filters x inputs
-            d_conv = np.einsum("bf,bfi->if", dh, at) * mask
-            d_in = (dh[:, :, None] * p[1].T[None]).reshape(len(xb), n_out, _WIDEST, DIM)
-            places = best[:, :, None] + np.arange(_WIDEST)
-            inside = places < LENGTH
-            byte = np.take_along_axis(xb, np.minimum(places, LENGTH - 1).reshape(len(xb), -1), axis=1).reshape(places.shape)
-            d_emb = np.zeros_like(p[0])
-            np.add.at(d_emb, byte[inside], d_in[inside])
             step += 1
-            for k, g in enumerate((d_emb, d_conv, dh.sum(axis=0), hidden.T @ dz, dz.sum(axis=0))):
+            for k, g in enumerate(gradients(p, x[order[i : i + AT_ONCE]], y[order[i : i + AT_ONCE]])):
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 p[k] = (p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
@@ -125,13 +133,14 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 0, epochs:
 def sample(df: DataFrame, may_learn: Column, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows and language numbers of the texts that are learnt from."""
     own = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(may_learn & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    often = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGS)
+    counts = {r["lang"]: r["n"] for r in often.collect()}
     langs = sorted(counts)
     if not langs:
         return np.zeros((0, LENGTH), np.uint8), np.zeros(0, np.int64), []
     part = (F.xxhash64("id", F.lit("langid")).bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("part")
     rate = F.create_map(*[F.lit(x) for lang in langs for x in (lang, PER_LANG / counts[lang])])
-    chosen = own.select("lang", "text", part).where((F.col("part") < rate[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
+    chosen = own.select("lang", "text", part).where(F.col("lang").isin(langs) & (F.col("part") < rate[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
 
     def cut(c: dict) -> dict:
         lang, part, window = [], [], []

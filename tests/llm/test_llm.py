@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm import bpe, chat, decontaminate, html_text, langid, linedup, quality, shards, simhash, topk
 from lodestream.llm import template as tpl
-from lodestream.llm.components import components
+from lodestream.operators.components import components
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -70,6 +70,49 @@ def test_language_id_on_odd_rows(spark) -> None:
     assert {r["lang_pred"] for r in langid.identify(docs(spark, [EN], [None])).collect()} == {"und"}
 
 
+def test_network_equals_a_plain_one() -> None:
+    """Convolutions, maximum and softmax, byte by byte."""
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 256, (3, langid.LENGTH)).astype(np.uint8)
+    net = langid.train(x, np.array([0, 1, 2]), ["a", "b", "c"], epochs=2)
+    for row, p in zip(x, langid.forward(net, x), strict=True):
+        hidden = []
+        for i in range(len(langid.WIDTHS) * langid.FILTERS):
+            width, best = langid.WIDTHS[i // langid.FILTERS], -np.inf
+            for at in range(langid.LENGTH):
+                own = [net.emb[row[at + k]] if at + k < langid.LENGTH else np.zeros(langid.DIM) for k in range(width)]
+                best = max(best, sum(float(e @ net.conv[k * langid.DIM : (k + 1) * langid.DIM, i]) for k, e in enumerate(own)))
+            hidden.append(max(0.0, best + net.bias[i]))
+        z = np.exp(np.array(hidden) @ net.out + net.out_bias)
+        assert p == pytest.approx(z / z.sum(), abs=1e-5)
+
+
+def test_gradients_equal_differences() -> None:
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 256, (5, langid.LENGTH)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    p = [a.astype(np.float64) for a in langid.start(3, rng)]
+    p[2] += 0.3
+    loss = lambda: float(-np.log(langid.forward(langid.Network(["a", "b", "c"], *p), x, np.float64)[np.arange(5), y]).mean())
+    for a, g in zip(p, langid.gradients(p, x, y), strict=True):
+        for at in [tuple(rng.integers(0, n) for n in a.shape) for _ in range(30)] + [np.unravel_index(abs(g).argmax(), a.shape)]:
+            if a is p[1] and not langid._mask()[at]:
+                continue
+            was, step = a[at], 1e-5
+            a[at] = was + step
+            up = loss()
+            a[at] = was - step
+            down = loss()
+            a[at] = was
+            assert (up - down) / (2 * step) == pytest.approx(g[at], abs=2e-5)
+
+
+def test_dirty_labels_are_bounded(spark, monkeypatch) -> None:
+    monkeypatch.setattr(langid, "LANGS", 2)
+    texts, langs = [EN, FR] * 20 + [EN] * 10, ["en", "fr"] * 20 + [f"x{i}" for i in range(10)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs(spark, texts, langs)).collect()}
+    assert set(got.values()) == {"en", "fr"} and got[0] == "en" and got[1] == "fr"
+
+
 def test_every_window_of_a_text_counts() -> None:
     x, size, n = langid.windows([b"a" * 300, b"", b"b" * 128])
     assert n.tolist() == [3, 0, 1] and size.tolist() == [128, 128, 44, 128] and x[2, 44:].sum() == 0
@@ -580,6 +623,37 @@ def test_matrix_keeps_all_sums(counts: list[int], k: int, seed: int) -> None:
     assert m.sum(axis=1).tolist() == counts and m.sum(axis=0).tolist() == sizes and (m >= 0).all() and max(sizes) - min(sizes) <= 1
 
 
+def test_matrix_follows_the_law_of_permutations() -> None:
+    """Against plain shuffles: how often each matrix comes."""
+    counts, sizes, n = [3, 2, 1], [2, 2, 2], 6000
+    rng, rows = random.Random(4), [p for p, c in enumerate(counts) for _ in range(c)]
+    plain: dict[tuple, int] = {}
+    drawn: dict[tuple, int] = {}
+    for i in range(n):
+        order = rng.sample(rows, len(rows))
+        m = np.zeros((3, 3), dtype=int)
+        for place, p in enumerate(order):
+            m[p, place // 2] += 1
+        plain[tuple(m.ravel())] = plain.get(tuple(m.ravel()), 0) + 1
+        d = tuple(shards.communication_matrix(counts, sizes, i).ravel().tolist())
+        drawn[d] = drawn.get(d, 0) + 1
+    assert set(plain) == set(drawn)
+    chi = sum((plain[k] - drawn[k]) ** 2 / (plain[k] + drawn[k]) for k in plain)
+    assert chi < len(plain) + 4 * math.sqrt(2 * len(plain))
+
+
+def test_every_place_is_as_likely(spark) -> None:
+    """Over many seeds each row comes to each shard and each slot about as often."""
+    df, n, seeds = spark.range(0, 16, numPartitions=3).select(F.col("id").alias("doc_id")), 16, 40
+    seen = np.zeros((n, n))
+    for seed in range(seeds):
+        for r in shards.shuffle_to_shards(df, 4, seed=seed, cell_rows=3).collect():
+            seen[r["doc_id"], r["shard"] * 4 + r["slot"]] += 1
+    expected = seeds / n
+    assert (seen.sum(axis=0) == seeds).all() and (seen.sum(axis=1) == seeds).all()
+    assert ((seen - expected) ** 2 / expected).sum() < (n - 1) ** 2 + 5 * math.sqrt(2) * (n - 1)
+
+
 def test_large_hypergeometric_has_the_right_moments() -> None:
     rng, (good, bad, n) = np.random.default_rng(0), (3 * 10**9, 5 * 10**9, 4 * 10**9)
     draws = [shards.hypergeometric(rng, good, bad, n) for _ in range(30)]
@@ -681,7 +755,7 @@ def plain_top_k(rows: list[tuple], k: int) -> set[tuple]:
     return out
 
 
-@pytest.mark.parametrize(("scale", "k"), [(1.0, 5), (3000.0, 3), (1e9, 4)])
+@pytest.mark.parametrize(("scale", "k"), [(1.0, 5), (3000.0, 3), (1e9, 4), (1e10, 150)])
 def test_top_k_equals_brute_force(spark, scale: float, k: int) -> None:
     rng = np.random.default_rng(int(k))
     rows = [(i, (rng.integers(-3, 4, 6) / 7 * scale).astype(np.float32).tolist()) for i in range(150)]
