@@ -691,6 +691,81 @@ def test_co_training_ranks_held_out_documents(spark) -> None:
     assert all(0 <= got[i][c] <= 1 for i in got for c in ("score", "text_score", "meta_score"))
 
 
+def plain_co_training(rows: list[tuple], labels: dict[int, float], held: set[int]) -> dict[int, tuple]:
+    """(id, text, source, lang) rows: counts in dictionaries, each document looked at by itself."""
+    views = {i: (quality.text_view(t.encode()), quality.meta_view(t.encode(), s, la)) for i, t, s, la in rows}
+
+    def learn(text: list[tuple[int, int]], meta: list[tuple[int, int]]):
+        n, bins, mass = [[0, 0], [0, 0]], [{}, {}], {}
+        for view, taught in ((0, text), (1, meta)):
+            for i, y in taught:
+                n[view][y] += 1
+                for b in views[i][0][0] if view == 0 else views[i][1]:
+                    bins[view].setdefault(b, [0, 0])[y] += 1
+        for i, y in text:
+            for b, m in zip(views[i][0][1].tolist(), views[i][0][2].tolist(), strict=True):
+                mass.setdefault(b, [0, 0])[y] += m
+        total = [sum(m[y] for m in mass.values()) + quality.WORD_PRIOR * (1 << quality.WORD_BITS) for y in (0, 1)]
+        odds = lambda view, b: math.log((bins[view][b][1] + 1) / (n[view][1] + 8) * (n[view][0] + 8) / (bins[view][b][0] + 1)) if b in bins[view] else 0.0
+        word = lambda b: math.log((mass[b][1] + quality.WORD_PRIOR) / total[1] * total[0] / (mass[b][0] + quality.WORD_PRIOR)) if b in mass else 0.0
+        z = {i: ([sum(odds(0, b) for b in v[0][0]), sum(word(b) * m for b, m in zip(v[0][1].tolist(), v[0][2].tolist(), strict=True)) / quality.MASS], [sum(odds(1, b) for b in v[1])]) for i, v in views.items()}
+        order = sorted(held)
+        y = np.array([int(labels[i] > 0.5) for i in order])
+        fits = [quality.logistic(np.array([z[i][k] for i in order]), y) for k in (0, 1)]
+        out = {i: tuple(float(np.dot(f[:-1], zi) + f[-1]) for f, zi in zip(fits, both, strict=True)) for i, both in z.items()}
+        skill = [max(quality.auc(np.array([np.dot(f[:-1], z[i][k]) for i in order]), y) - 0.5, 0) ** 2 for k, f in enumerate(fits)]
+        return out, [x / sum(skill) for x in skill]
+
+    own = [(i, int(y > 0.5)) for i, y in labels.items() if i not in held]
+    odds, parts = learn(own, own)
+    for _ in range(quality.ROUNDS):
+        sure = lambda k: [(i, int(odds[i][k] > 0)) for i in views if i not in labels and abs(odds[i][k]) >= math.log(quality.SURE / (1 - quality.SURE))]  # noqa: E731, B023
+        odds, parts = learn(own + sure(1), own + sure(0))
+    return {i: tuple(1 / (1 + math.exp(-x)) for x in (parts[0] * a + parts[1] * b, a, b)) for i, (a, b) in odds.items()}
+
+
+def _mixed(rng: random.Random, n: int) -> list[tuple]:
+    words = EN.split() + [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(n):
+        good = rng.random() < 0.7
+        text = " ".join(w if good or rng.random() < 0.5 else w.upper() + rng.choice(["!!", "#", "%%"]) for w in rng.choices(words, k=rng.randint(1, 60)))
+        source = f"s{rng.randrange(3) + (0 if good else 2)}" if rng.random() < 0.9 else None
+        rows.append((i, text, source, rng.choice(["en", "fr", None]), good != (rng.random() < 0.05)))
+    return rows
+
+
+def test_co_training_equals_a_plain_one(spark) -> None:
+    rng = random.Random(12)
+    rows = _mixed(rng, 300)
+    df = spark.createDataFrame([(i, t, la, s, len(t)) for i, t, s, la, _ in rows], SCHEMA)
+    labels = {i: float(g) for i, *_, g in rows if i % 2}
+    part = F.xxhash64(F.lit("quality"), "id").bitwiseAND((1 << 53) - 1) / float(1 << 53)
+    held = {r["id"] for r in spark.createDataFrame([(i,) for i in labels], "id bigint").where(part < 0.25).collect()}
+    known = spark.createDataFrame(list(labels.items()), "doc_id bigint, quality double")
+    got = [{r["doc_id"]: (r["score"], r["text_score"], r["meta_score"]) for r in quality.score(d, quality.fit(d, known)).collect()} for d in (df, df.repartition(7))]
+    assert got[0] == got[1], "however rows are dealt"
+    want = plain_co_training([(i, t, s, la) for i, t, s, la, _ in rows], labels, held)
+    assert all(got[0][i] == pytest.approx(want[i], abs=1e-6) for i in want) and 0 < len(held) < 80
+
+
+def test_views_teach_each_other(spark, monkeypatch) -> None:
+    """A source that no label knows: what the text view is sure of there tells the metadata view about it."""
+    rng = random.Random(13)
+    good = lambda: " ".join(rng.choices(EN.split(), k=60)) + "."
+    bad = lambda: " | ".join(w.upper() + "##" for w in rng.choices(EN.split(), k=60))
+    texts = [good() if i % 2 else bad() for i in range(300)] + [bad() for _ in range(100)]
+    rows = [(i, t, "en", "spam" if i >= 300 else f"s{i % 3}", 1) for i, t in enumerate(texts)]
+    df, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, quality int")
+    after = quality.fit(df, labels)
+    monkeypatch.setattr(quality, "ROUNDS", 0)
+    before = quality.fit(df, labels)
+    meta = lambda m, i: m.meta_odds(quality.meta_view(texts[i].encode(), rows[i][3], "en"))
+    assert meta(after, 350) < meta(before, 350) - 1 and (after.weights != before.weights).any()
+    views = quality.text_view(b"One TWO three."), quality.meta_view(b"One TWO three.", "s", None)
+    assert views[1] == quality.meta_view(b"Six ten? eight", "s", None), "the metadata view doesn't read the words"
+
+
 def test_quality_without_labels_and_on_odd_rows(spark) -> None:
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     got = quality.score(odd(spark), quality.fit(odd(spark), none)).collect()
