@@ -42,7 +42,7 @@ from lodestream.session import cut
 
 BITS = 3
 #: Fingerprints that live in one shard, about, and the size of the sample that the shards' trees are made from.
-SHARD_ROWS, SAMPLE = 16_000, 262_144
+SHARD_ROWS, SAMPLE = 4_000, 262_144
 #: Points of the sample that a shard has at least, points that a cut is chosen by, and vantage points that are tried.
 FEWEST, SEEN, TRIED = 16, 4_096, 8
 #: What a row in the largest shard counts when the number of trees is chosen: the tasks that wait for it.
@@ -51,8 +51,8 @@ WAITING = 8
 FEW = 1_000_000
 #: Share of a node's points near a border from which it isn't cut there, and the least share of the smaller side.
 NEAR, UNEVEN = 0.5, 0.1
-#: Points of a tree's leaf, and comparisons that are made at one time.
-LEAF, BLOCK = 64, 1 << 22
+#: Points of a tree's leaf, comparisons that are made at one time, and links that are held before they are joined.
+LEAF, BLOCK, HELD = 64, 1 << 22, 500_000
 #: Share of a node's points in one ball from which they are linked to its middle.
 DENSE = 0.1
 
@@ -242,54 +242,79 @@ def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Links:
-    """Edges between places of an array, made a star forest whenever they are many."""
+    """The components of places of an array that edges join; edges within a known component go as they come."""
 
-    def __init__(self) -> None:
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
         self.a: list[np.ndarray] = []
         self.b: list[np.ndarray] = []
-        self.held, self.most = 0, 2_000_000
+        self.held = 0
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.a.append(a)
-        self.b.append(b)
-        self.held += len(a)
-        if self.held > self.most:
-            x, y = self.forest()
-            self.a, self.b, self.held = [x], [y], len(x)
-            self.most = max(self.most, 2 * len(x))
+        x, y = self.label[a], self.label[b]
+        new = x != y
+        if new.any():
+            self.a.append(x[new])
+            self.b.append(y[new])
+            self.held += len(self.a[-1])
+            if self.held > HELD:
+                self.merge()
+
+    def merge(self) -> None:
+        if self.held:
+            node, root = star(np.concatenate(self.a), np.concatenate(self.b))
+            to = np.arange(len(self.label))
+            to[node] = root
+            self.label = to[self.label]
+            self.a, self.b, self.held = [], [], 0
 
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.held:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        return star(np.concatenate(self.a), np.concatenate(self.b))
+        """(place, least place of its component) of those that are linked."""
+        self.merge()
+        node = np.flatnonzero(np.bincount(self.label, minlength=1)[self.label] > 1)
+        return node, self.label[node]
 
 
 def search(points: np.ndarray, kept: np.ndarray, asked: np.ndarray, links: Links, rng: np.random.Generator) -> None:
     """Links that join the components which pairs within BITS of ``asked`` x ``kept`` (places in ``points``) join."""
-    todo = [(kept, asked)]
+    todo = [(kept, asked, False)]  # and whether what is kept is one component already
     while todo:
-        kept, asked = todo.pop()
+        kept, asked, one = todo.pop()
+        if one and len(kept) and len(asked):
+            if links.held > len(asked) // 8:
+                links.merge()
+            asked = asked[links.label[asked] != links.label[kept[0]]]
         if not len(kept) or not len(asked):
             continue
         if len(kept) <= LEAF:
             step = max(1, BLOCK // len(kept))
             for i in range(0, len(asked), step):
-                q, p = np.nonzero(np.bitwise_count(points[asked[i : i + step]][:, None] ^ points[kept][None, :]) <= BITS)
-                q, p = asked[i : i + step][q], kept[p]
-                other = q != p
-                links.add(q[other], p[other])
+                some = asked[i : i + step]
+                near = np.bitwise_count(points[some][:, None] ^ points[kept][None, :]) <= BITS
+                if one:
+                    links.add(some[near.any(axis=1)], kept[:1].repeat(near.any(axis=1).sum()))
+                elif np.count_nonzero(near) > 4 * len(some):
+                    # a dense place: each to the first that is near it, and those that are near one another or a third
+                    hit = near.any(axis=1)
+                    links.add(some[hit], kept[near[hit].argmax(axis=1)])
+                    p, q = np.nonzero(near.T.astype(np.float32) @ near.astype(np.float32))
+                    links.add(kept[p], kept[q])
+                else:
+                    q, p = np.nonzero(near)
+                    links.add(some[q], kept[p])
             continue
         few = points[rng.choice(kept, min(512, len(kept)), replace=False)]
         tries = rng.choice(kept, 8, replace=False)
         away = np.bitwise_count(points[tries][:, None] ^ few[None, :])
         dense = (away <= BITS).mean(axis=1)
-        if dense.max() >= DENSE:
+        if not one and dense.max() >= DENSE:
             v = tries[int(dense.argmax())]
             dk, dq = bits_between(points[kept], points[v]), bits_between(points[asked], points[v])
             ball, near = kept[dk <= BITS], asked[dq <= BITS]
             links.add(ball, np.full(len(ball), v))
             links.add(near, np.full(len(near), v))
-            todo += [(ball, asked[(dq > BITS) & (dq <= 2 * BITS)]), (kept[dk > BITS], asked)]
+            # what lies around the ball may be near one of it; all others are as before
+            todo += [(kept[dk > BITS], asked, False), (ball, asked[(dq > BITS) & (dq <= 2 * BITS)], True)]
             continue
         v = tries[int(away.std(axis=1).argmax())]
         dk, dq = bits_between(points[kept], points[v]), bits_between(points[asked], points[v])
@@ -298,14 +323,14 @@ def search(points: np.ndarray, kept: np.ndarray, asked: np.ndarray, links: Links
             m -= 1
         if not (dk <= m).any():  # all at one distance: halves, without a bound
             half = len(kept) // 2
-            todo += [(kept[:half], asked), (kept[half:], asked)]
+            todo += [(kept[:half], asked, one), (kept[half:], asked, one)]
             continue
-        todo += [(kept[dk <= m], asked[dq - BITS <= m]), (kept[dk > m], asked[dq + BITS > m])]
+        todo += [(kept[dk <= m], asked[dq - BITS <= m], one), (kept[dk > m], asked[dq + BITS > m], one)]
 
 
 def shard_links(fps: np.ndarray, home: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, fingerprint of its local component) for the linked points of one shard."""
-    links = Links()
+    links = Links(len(fps))
     search(fps, np.flatnonzero(home), np.arange(len(fps)), links, np.random.default_rng(seed))
     node, root = links.forest()
     return fps[node], fps[root]
