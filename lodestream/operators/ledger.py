@@ -68,13 +68,14 @@ def check_patterns(aliases: list[tuple[str, str]]) -> None:
 def match_aliases(texts: DataFrame, aliases: list[tuple[str, str]], text: str = "text") -> DataFrame:
     """(row, concept, match) for the first case-insensitive match of each concept's aliases, in one scan.
 
-    The patterns are data of the ledger, some hundred at most. Each becomes a literal expression, compiled once.
+    The patterns are data of the ledger, some hundred at most. Each becomes a literal expression, compiled once; word
+    characters and borders are those of all scripts.
     """
     check_patterns(aliases)
     by_concept: dict[str, list[str]] = {}
     for concept, pattern in aliases:
         by_concept.setdefault(concept, []).append(pattern)
-    found = [F.struct(F.lit(c).alias("concept"), F.regexp_extract(text, "(?i)(" + "|".join(f"(?:{p})" for p in ps) + ")", 1).alias("match")) for c, ps in by_concept.items()]
+    found = [F.struct(F.lit(c).alias("concept"), F.regexp_extract(text, "(?iU)(" + "|".join(f"(?:{p})" for p in ps) + ")", 1).alias("match")) for c, ps in by_concept.items()]
     return texts.withColumn("__m", F.explode(F.filter(F.array(*found), lambda x: x["match"] != ""))).select(*[c for c in texts.columns if c != text], F.col("__m.concept").alias("concept"), F.col("__m.match").alias("match_text"))
 
 

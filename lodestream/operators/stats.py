@@ -157,14 +157,14 @@ def conditional_counts(rows: DataFrame, column: str, values: list[str]) -> DataF
 
 
 def novelty_ngrams(texts: DataFrame, words: Column, recent: Column, most: int = 3, least: int = 3) -> DataFrame:
-    """Distinct 1- to ``most``-grams of each text; those in ``least`` recent texts, score recent / (prior + 1), 2 digits."""
+    """Distinct 1- to ``most``-grams of each text; those in ``least`` recent texts, score recent / (prior + 1), 2 digits, rounded by whole numbers."""
     def grams(n: int) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
         return F.when(F.size(words) >= n, each).otherwise(F.array().cast("array<string>"))
 
     rows = texts.select(recent.alias("recent"), F.explode(F.array_distinct(F.concat(*[grams(n) for n in range(1, most + 1)]))).alias("term"))
     n = rows.groupBy("term").agg(F.sum(F.when(F.col("recent"), 1).otherwise(0)).alias("recent"), F.sum(F.when(F.col("recent"), 0).otherwise(1)).alias("prior"))
-    return n.where(F.col("recent") >= least).withColumn("score", F.round(F.col("recent") / (F.col("prior") + 1), 2))
+    return n.where(F.col("recent") >= least).withColumn("score", F.expr("(200 * recent + prior + 1) div (2 * (prior + 1))") / 100)
 
 
 def importance_weighted_days(articles: DataFrame) -> DataFrame:

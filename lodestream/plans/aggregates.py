@@ -11,6 +11,7 @@ from lodestream.functions.text import iso_week
 from lodestream.operators import entities as en
 from lodestream.operators import stats as st
 from lodestream.plans.scalars import TOKENS
+from lodestream.operators.joins import global_place
 from lodestream.registry import registry
 
 query, QUERIES, ORACLES = registry()
@@ -355,14 +356,14 @@ _WORDS = "string_split(text, ' ')"
 
 
 @query(
-    f"""WITH w AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') AS w FROM benchmark),
-g AS (SELECT DISTINCT item_id, unnest(list_concat(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS term FROM w),
-n AS (SELECT term, count(*) FILTER (item_id % 2 = 0) AS recent, count(*) FILTER (item_id % 2 = 1) AS prior FROM g GROUP BY term) SELECT term, recent, prior, round(recent / (prior + 1), 2) AS score FROM n WHERE recent >= 3"""
+    f"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(list_concat(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS term FROM w),
+n AS (SELECT term, count(*) FILTER (doc_id % 2 = 0) AS recent, count(*) FILTER (doc_id % 2 = 1) AS prior FROM g GROUP BY term) SELECT term, recent, prior, ((200 * recent + prior + 1) // (2 * (prior + 1))) / 100 AS score FROM n WHERE recent >= 3"""
 )
 def a47_novelty_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " ")
-    b = table(spark, sf, "benchmark").withColumn("w", words)
-    return st.novelty_ngrams(b, F.col("w"), F.col("item_id") % 2 == 0)
+    b = table(spark, sf, "documents").withColumn("w", words)
+    return st.novelty_ngrams(b, F.col("w"), F.col("doc_id") % 2 == 0)
 
 
 @query("SELECT date_trunc('month', day)::DATE AS win, round(coalesce(avg((importance >= 4)::INT), 0), 6) AS share FROM articles GROUP BY ALL")
@@ -370,14 +371,11 @@ def a48_window_share(spark: SparkSession, sf: str) -> DataFrame:
     return articles(spark, sf).groupBy(F.to_date(F.date_trunc("month", "day")).alias("win")).agg(F.round(F.coalesce(F.avg((F.col("importance") >= 4).cast("int")), F.lit(0.0)), 6).alias("share"))
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY (o_orderstatus = 'F') DESC, o_orderdate DESC, o_orderkey) AS place FROM orders ORDER BY place LIMIT 100")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY (o_orderstatus = 'F') DESC, o_orderdate DESC, o_orderkey) AS place FROM orders")
 def a49_prediction_order(spark: SparkSession, sf: str) -> DataFrame:
-    """The first hundred of the list: resolved ones first, then the newest."""
-    from pyspark.sql import Window
-
+    """The whole list: resolved ones first, then the newest."""
     order = [(F.col("o_orderstatus") == "F").desc(), F.col("o_orderdate").desc(), F.col("o_orderkey")]
-    top = table(spark, sf, "orders").orderBy(*order).limit(100)
-    return top.select("o_orderkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    return global_place(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"), order, "n").select("o_orderkey", (F.col("n") + 1).cast("long").alias("place"))
 
 
 @query("SELECT event_type, count(*) AS calls, count(DISTINCT user_id) AS users, round(sum(value), 4) AS cost FROM events GROUP BY ALL")
@@ -496,8 +494,10 @@ def u1_outlets(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.array_sort(F.collect_set("o")).alias("outlets"))
 
 
-@query("SELECT entity FROM (SELECT DISTINCT entity, entity_type FROM mentions WHERE year(day) = 1995 AND month(day) = 3 EXCEPT SELECT DISTINCT entity, entity_type FROM mentions WHERE year(day) = 1995 AND month(day) = 4)")
+@query("WITH d AS (SELECT DISTINCT day, entity, entity_type FROM mentions), l AS (SELECT max(day) AS b, max(day) FILTER (day < (SELECT max(day) FROM d)) AS a FROM d) SELECT entity, entity_type FROM (SELECT entity, entity_type FROM d, l WHERE day = a EXCEPT SELECT entity, entity_type FROM d, l WHERE day = b)")
 def u3_gone_entities(spark: SparkSession, sf: str) -> DataFrame:
-    """In one snapshot, not in the next."""
-    month = lambda m: mentions(spark, sf).where((F.year("day") == 1995) & (F.month("day") == m)).select("entity", "entity_type").distinct()
-    return month(3).join(month(4), ["entity", "entity_type"], "left_anti").select("entity")
+    """Seen on the last day but one, not on the last."""
+    days = mentions(spark, sf).select("day", "entity", "entity_type").distinct()
+    last = days.select("day").distinct().orderBy(F.col("day").desc()).limit(2).agg(F.max("day").alias("b"), F.min("day").alias("a"))
+    on = lambda c: days.join(F.broadcast(last.select(F.col(c).alias("day"))), "day").select("entity", "entity_type")  # noqa: E731  a day
+    return on("a").join(on("b"), ["entity", "entity_type"], "left_anti")

@@ -91,7 +91,7 @@ def t9_search_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return rk.with_neighbours(rk.search(a, ["Red", "brand"]), near)
 
 
-_CLUSTER_TAGS = "ct AS (SELECT source_id AS cluster_id, list_sort(list(DISTINCT x.t)) AS tags, max(day) AS last_day FROM articles, unnest(tags) AS x(t) WHERE category = '1-URGENT' GROUP BY source_id)"
+_CLUSTER_TAGS = "ct AS (SELECT source_id || '/' || category AS cluster_id, list_sort(list(DISTINCT x.t)) AS tags, max(day) AS last_day FROM articles, unnest(tags) AS x(t) GROUP BY ALL)"
 
 
 @query(
@@ -100,7 +100,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(score,
 )
 def t10_related_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """J21, T10, U5."""
-    rows = articles(spark, sf).where("category = '1-URGENT'").select(F.col("source_id").alias("cluster_id"), "day", F.explode("tags").alias("t"))
+    rows = articles(spark, sf).select(F.concat_ws("/", "source_id", "category").alias("cluster_id"), "day", F.explode("tags").alias("t"))
     clusters = rows.groupBy("cluster_id").agg(F.array_sort(F.collect_set("t")).alias("tags"), F.max("day").alias("last_day"))
     return rk.related_by_tags(clusters).select("cluster_id", "other", F.round("score", 6).alias("score"), "rank")
 
@@ -179,9 +179,9 @@ def p9_source_predicate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").where(F.startswith("url", F.lit("https://m.")) | F.contains("url", F.lit("/de/"))).select("page_id")
 
 
-@query("SELECT DISTINCT w FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) WHERE regexp_full_match(w, '[a-z][a-z0-9\\-+.]+') AND length(w) >= 3")
+@query("SELECT DISTINCT w FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM documents) WHERE regexp_full_match(w, '[a-z][a-z0-9\\-+.]+') AND length(w) >= 3")
 def p11_english_keyword(spark: SparkSession, sf: str) -> DataFrame:
-    w = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct()
+    w = table(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct()
     return w.where(F.col("w").rlike(r"^[a-z][a-z0-9\-+.]+\z") & (F.length("w") >= 3))
 
 
@@ -304,12 +304,12 @@ def j13_semi(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    r"""WITH al AS (SELECT * FROM (VALUES ('tion', 'tion\w+'), ('und', '\bund\b'), ('que', 'que[a-z]*')) v(concept, pattern)) SELECT item_id, concept, regexp_extract(text, '(?i)(' || pattern || ')', 1) AS match_text FROM benchmark, al WHERE regexp_matches(text, '(?i)' || pattern)"""
+    r"""WITH al AS (SELECT * FROM (VALUES ('tion', '(tion[\pL\pN_]+)'), ('und', '(?:^|[^\pL\pN_])(und)(?:$|[^\pL\pN_])'), ('que', '(que[a-z]*)')) v(concept, pattern)) SELECT doc_id, concept, regexp_extract(text, '(?i)' || pattern, 1) AS match_text FROM documents, al WHERE regexp_matches(text, '(?i)' || pattern)"""
 )
 def j15_alias_match(spark: SparkSession, sf: str) -> DataFrame:
     """Texts against alias patterns in one scan."""
     aliases = [("tion", r"tion\w+"), ("und", r"\bund\b"), ("que", "que[a-z]*")]
-    return lg.match_aliases(table(spark, sf, "benchmark"), aliases)
+    return lg.match_aliases(table(spark, sf, "documents").select("doc_id", "text"), aliases)
 
 
 @query(

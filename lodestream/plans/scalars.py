@@ -14,9 +14,9 @@ query, QUERIES, ORACLES = registry()
 _NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9가-힣\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(f"SELECT item_id, {_NORM.format('text')} AS norm FROM benchmark")
+@query(f"SELECT doc_id, {_NORM.format('text')} AS norm FROM documents")
 def f1_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", T.normalize(F.col("text")).alias("norm"))
+    return table(spark, sf, "documents").select("doc_id", T.normalize(F.col("text")).alias("norm"))
 
 
 _GRAMS = "CASE WHEN length(s) < 3 THEN [s] ELSE list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)) END"
@@ -59,9 +59,9 @@ _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS)
 TOKENS = rf"list_filter(list_transform(regexp_extract_all({{0}}, '[A-Za-z][A-Za-z0-9\-+.]{{{{2,}}}}'), lambda x: regexp_replace(lower(x), '\.+$', '')), lambda x: length(x) >= 3 AND x NOT IN ({_STOP}))"
 
 
-@query(f"SELECT item_id, array_to_string({TOKENS.format('text').replace('{{2,}}', '{2,}')}, ' ') AS tokens FROM benchmark")
+@query(f"SELECT doc_id, array_to_string({TOKENS.format('text').replace('{{2,}}', '{2,}')}, ' ') AS tokens FROM documents")
 def f7_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query(f"SELECT id, array_to_string(list_sort(list_distinct(list_filter(string_split({_NORM.format('title')}, ' '), lambda x: length(x) >= 2))), ' ') AS tokens FROM articles")
@@ -135,11 +135,11 @@ def f17_strip_html(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT item_id, text, greatest(strpos(lower(text), 'th') - 20, 1) AS s FROM benchmark)
-SELECT item_id, (CASE WHEN s > 1 THEN '…' ELSE '' END) || substr(text, s, 40) || (CASE WHEN s + 39 < length(text) THEN '…' ELSE '' END) AS snippet FROM h"""
+    """WITH h AS (SELECT doc_id, text, greatest(strpos(lower(text), 'th') - 20, 1) AS s FROM documents)
+SELECT doc_id, (CASE WHEN s > 1 THEN '…' ELSE '' END) || substr(text, s, 40) || (CASE WHEN s + 39 < length(text) THEN '…' ELSE '' END) AS snippet FROM h"""
 )
 def f18_snippet(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", T.snippet(F.col("text"), F.lit("TH"), 40).alias("snippet"))
+    return table(spark, sf, "documents").select("doc_id", T.snippet(F.col("text"), F.lit("TH"), 40).alias("snippet"))
 
 
 @query(r"SELECT p_partkey, regexp_matches(p_name, '(?i)\bred\s+widget\b') AS has FROM part")
@@ -167,10 +167,10 @@ def f22_collapsed_key(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(T.collapsed_key(F.col("text")).cast("binary")).alias("key"))
 
 
-@query("SELECT item_id, substr(text, greatest(strpos(text, 'th') - 90, 1), strpos(text, 'th') + 2 + 90 - greatest(strpos(text, 'th') - 90, 1)) AS span FROM benchmark WHERE contains(text, 'th')")
+@query("SELECT doc_id, substr(text, greatest(strpos(text, 'th') - 90, 1), strpos(text, 'th') + 2 + 90 - greatest(strpos(text, 'th') - 90, 1)) AS span FROM documents WHERE contains(text, 'th')")
 def f25_around(spark: SparkSession, sf: str) -> DataFrame:
     hit = F.instr("text", F.lit("th"))
-    return table(spark, sf, "benchmark").where(hit > 0).select("item_id", T.around(F.col("text"), hit, F.lit(2)).alias("span"))
+    return table(spark, sf, "documents").where(hit > 0).select("doc_id", T.around(F.col("text"), hit, F.lit(2)).alias("span"))
 
 
 @query("SELECT o_orderkey, floor((datediff('day', DATE '0001-01-01', o_orderdate::DATE) + 1) / 7)::BIGINT AS week FROM orders")
