@@ -195,6 +195,12 @@ def continuity(clusters: DataFrame) -> DataFrame:
     return fold_days(group_rows(clusters)).where("entry IS NULL").select("day", "grp", "cluster_id", "kind", "hamming")
 
 
+def shrinkage(sizes: DataFrame, most: float = 0.3) -> DataFrame:
+    """D8 as a table: (before, after, pruned) with ``fine``: whether less than ``most`` of the state was lost beyond what was pruned."""
+    lost = (F.col("before") - F.col("pruned") - F.col("after")) / F.nullif(F.col("before"), F.lit(0))
+    return sizes.withColumn("fine", F.coalesce(lost < most, F.lit(True)))
+
+
 def shrink_guard(before: int, after: int, pruned: int, most: float = 0.3) -> None:
     """Stops a run that would lose 30 % of the state or more beyond what was pruned."""
     if before and (before - pruned - after) / before >= most:

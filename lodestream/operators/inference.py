@@ -233,7 +233,7 @@ def smooth_velocities(series: DataFrame, key: str, value: str, least: int = 5) -
     def fit(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("day")
         if len(f) < least:
-            return pd.DataFrame({key: [], "day": [], "level": [], "velocity": [], "error": []})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in (key, "day", "level", "velocity", "error")})
         level, v, e, _ = smooth_velocity(f[value].to_numpy(float))
         return pd.DataFrame({key: f[key], "day": f["day"], "level": level, "velocity": v, "error": e})
 

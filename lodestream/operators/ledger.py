@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -116,6 +116,32 @@ def schema_drift(manifest: DataFrame, expected: DataFrame) -> DataFrame:
     return manifest.join(e, "file", "left").where(~F.col("schema_version").eqNullSafe(F.col("expected"))).select("file", "schema_version", "expected")
 
 
+def versions(manifest: DataFrame, expected: DataFrame) -> DataFrame:
+    """Of each expected file its version, the one that the manifest has (null: none) and whether they agree."""
+    m = manifest.select("file", F.col("schema_version").alias("got"))
+    return expected.select("file", F.col("schema_version").alias("expected")).join(m, "file", "left").withColumn("ok", F.col("got").eqNullSafe(F.col("expected")))
+
+
+def frontier(parts: DataFrame, newest: DataFrame) -> DataFrame:
+    """(part, newest, last_run) with its lag in days behind the one day of ``newest`` (as_of)."""
+    return parts.crossJoin(F.broadcast(newest)).select("part", "newest", "last_run", F.datediff("as_of", "newest").cast("long").alias("lag"))
+
+
+def export_lexicon(tables: dict[str, DataFrame], root: str) -> None:
+    """Each table as JSON lines, nulls included."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("ignoreNullFields", False).json(f"{root}/{name}")
+
+
+def import_lexicon(spark: SparkSession, tables: dict[str, tuple[DataFrame, list[str]]], root: str) -> dict[str, DataFrame]:
+    """Of each (table, keys) its rows, and the exported ones whose key it doesn't have."""
+    out = {}
+    for name, (own, keys) in tables.items():
+        more = spark.read.schema(own.schema).json(f"{root}/{name}").dropDuplicates(keys)
+        out[name] = own.unionByName(more.join(own.select(*keys), keys, "left_anti").select(*own.columns))
+    return out
+
+
 class LeakError(ValueError):
     pass
 

@@ -89,3 +89,26 @@ def reach(spark: SparkSession) -> SparkSession:
     if root not in known:
         env["PYTHONPATH"] = os.pathsep.join([root, *known])
     return spark
+
+
+def write_text_atomic(spark: SparkSession, path: str, text: str) -> None:
+    """A file of the shared folder, written beside its place and renamed into it: a reader sees the old text or the new one."""
+    fs, name = _files(spark, path)
+    aside = f"{path}.{uuid.uuid4().hex}"
+    out = fs.create(name(aside), True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if fs.exists(name(path)):
+        fs.delete(name(path), False)
+    if not fs.rename(name(aside), name(path)):
+        raise OSError(f"{aside} could not be renamed to {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None if there is none."""
+    fs, name = _files(spark, path)
+    if not fs.exists(name(path)):
+        return None
+    return spark.read.format("binaryFile").load(path).first()["content"].decode()

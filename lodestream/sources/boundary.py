@@ -42,7 +42,7 @@ def call_in_batches(rows: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame
                     break
                 else:
                     failed += 1
-                    yield pd.DataFrame({key: batch[key], "error": why}).reindex(columns=names)
+                    yield pd.DataFrame({c: batch[key] if c == key else [why if c == "error" else None] * len(batch) for c in names}, index=batch.index)
 
     full = f"{schema}, error string"
     names = rows.sparkSession.createDataFrame([], full).columns

@@ -52,6 +52,13 @@ def manifest(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), lines.alias("lines"), F.lit(version).alias("schema_version"))
 
 
+def sync_plan(here: DataFrame, there: DataFrame) -> DataFrame:
+    """(file, state) of what has to be copied: files that aren't there, or are with another hash."""
+    t = there.select("file", F.col("sha256").alias("__t"))
+    both = here.join(t, "file", "left").where(~F.col("sha256").eqNullSafe(F.col("__t")))
+    return both.select("file", F.when(F.col("__t").isNull(), "new").otherwise("changed").alias("state"))
+
+
 def verify_counts(spark: SparkSession, root: str, expected: dict[str, int]) -> None:
     """Stops if a written table doesn't have the rows it should have."""
     for name, n in expected.items():
