@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators.joins import running
+from lodestream.session import cut
 
 
 def level_shift(series: DataFrame, keys: list[str], order: str, value: str, least: int = 4) -> DataFrame:
@@ -85,24 +86,38 @@ def stratified_sample(rows: DataFrame, stratum: str, seats: DataFrame, id_col: s
     return rows.withColumn("__p", place).join(seats, stratum).where(F.col("__p") <= F.col("seats")).drop("__p", "seats")
 
 
+#: Clusters that one task resamples, about.
+RESAMPLED = 50_000
+
+
 def clustered_bootstrap(clusters: DataFrame, hits: str, total: str, replicates: int = 2000, seed: int = 7) -> DataFrame:
-    """Share of hits with a 95 % interval, resampling clusters.
+    """Share of hits with a 95 % interval, resampling clusters with replacement, as many as there are.
 
-    A cluster comes into a replicate as often as a Poisson(1) variable says, drawn from a seeded hash of cluster and
-    replicate: replicates are sums, so that no task needs all clusters; the seed fixes the result.
+    Clusters lie in buckets by a hash. How many of a replicate's draws fall into each bucket is a multinomial draw (the
+    driver holds a number for each bucket and replicate); within a bucket the draws are uniform. That is the law of
+    drawing from all clusters, no task needs more than a bucket of them, and the seed fixes the result.
     """
-    rep = clusters.select(F.col("cluster"), F.col(hits).alias("h"), F.col(total).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    u = F.xxhash64(F.lit(seed), "cluster", "rep").bitwiseAND((1 << 53) - 1) / float(1 << 53)
-    # the inverse of Poisson(1)'s distribution function
-    steps, acc, p = [], 0.0, math.exp(-1)
-    for k in range(9):
-        acc += p
-        steps.append(acc)
-        p /= k + 1
-    times = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    sums = rep.withColumn("m", times).groupBy("rep").agg((F.sum(F.col("m") * F.col("h")) / F.nullif(F.sum(F.col("m") * F.col("t")), F.lit(0))).alias("share"))
+    own = cut(clusters.select(F.col("cluster").cast("string").alias("c"), F.col(hits).cast("double").alias("h"), F.col(total).cast("double").alias("t")), "bootstrap")
+    n = own.count()
+    buckets = max(1, -(-n // RESAMPLED))
+    own = own.withColumn("b", F.pmod(F.xxhash64("c"), F.lit(buckets)).cast("int"))
+    sizes = {r["b"]: r["n"] for r in own.groupBy("b").agg(F.count("*").alias("n")).collect()}
+    order = sorted(sizes)
+    drawn = np.random.default_rng(seed).multinomial(n, [sizes[b] / n for b in order], size=replicates) if n else np.zeros((replicates, 0), dtype=np.int64)
+    of_bucket = {b: drawn[:, i] for i, b in enumerate(order)}
+
+    def resample(f: pd.DataFrame) -> pd.DataFrame:
+        f, b = f.sort_values(["c", "h", "t"], kind="stable"), int(f["b"].iloc[0])
+        rng, h, t = np.random.default_rng([seed, b]), f["h"].to_numpy(), f["t"].to_numpy()
+        sums = np.zeros((replicates, 2))
+        for i, k in enumerate(of_bucket[b].tolist()):
+            at = rng.integers(len(h), size=k)
+            sums[i] = h[at].sum(), t[at].sum()
+        return pd.DataFrame({"rep": np.arange(replicates), "h": sums[:, 0], "t": sums[:, 1]})
+
+    sums = own.groupBy("b").applyInPandas(resample, "rep int, h double, t double").groupBy("rep").agg((F.sum("h") / F.nullif(F.sum("t"), F.lit(0.0))).alias("share"))
     ends = sums.agg(F.percentile("share", 0.025).alias("low"), F.percentile("share", 0.975).alias("high"))
-    return clusters.agg((F.sum(hits) / F.sum(total)).alias("share")).crossJoin(ends)
+    return own.agg((F.sum("h") / F.sum("t")).alias("share")).crossJoin(ends)
 
 
 def sign_test(k: Column, n: Column) -> Column:

@@ -10,9 +10,10 @@ from lodestream.functions import text as T
 from lodestream.functions.text import iso_week
 from lodestream.operators import entities as en
 from lodestream.operators import stats as st
-from lodestream.plans.scalars import TOKENS
 from lodestream.operators.joins import global_place
+from lodestream.plans.scalars import TOKENS
 from lodestream.registry import registry
+from lodestream.session import cut
 
 query, QUERIES, ORACLES = registry()
 
@@ -280,7 +281,9 @@ s AS (SELECT x.player, y.player AS other, 2 * count(*) AS s FROM c x JOIN c y ON
 SELECT player, other, sum(s)::BIGINT AS overlap FROM s GROUP BY ALL"""
 )
 def a34_co_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    return st.co_mentions(_matched(spark, sf), articles(spark, sf), players(spark, sf))
+    # the articles are worked out once: four branches read them
+    a = cut(articles(spark, sf).select("id", "source_id", "cluster_id", "tags", F.col("title").alias("institution")), "co-mentions")
+    return st.co_mentions(st.match_players(a, players(spark, sf)), a, players(spark, sf))
 
 
 @query(

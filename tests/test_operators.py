@@ -192,6 +192,18 @@ def test_bootstrap_is_fixed_by_its_seed(spark) -> None:
     assert a == b and a["share"] == pytest.approx(5 / 9) and a["low"] <= a["share"] <= a["high"]
 
 
+def test_bootstrap_in_buckets_follows_plain_resampling(spark, monkeypatch) -> None:
+    monkeypatch.setattr(inf, "RESAMPLED", 25)
+    rng = np.random.default_rng(1)
+    t = rng.integers(1, 9, 200)
+    h = rng.binomial(t, 0.3)
+    c = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(h, t, strict=True))], "cluster int, h int, t int")
+    got = inf.clustered_bootstrap(c, "h", "t", 2000).first()
+    at = rng.integers(200, size=(20_000, 200))
+    low, high = np.percentile(h[at].sum(axis=1) / t[at].sum(axis=1), [2.5, 97.5])
+    assert got["low"] == pytest.approx(low, abs=0.004) and got["high"] == pytest.approx(high, abs=0.004) and got["share"] == pytest.approx(h.sum() / t.sum())
+
+
 def test_bootstrap_query_has_all_replicates(spark, tmp_path) -> None:
     rows = [(i % 40, "F" if i * i % 7 < 3 else "O") for i in range(400)]
     spark.createDataFrame(rows, "o_custkey int, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
