@@ -6,11 +6,12 @@ grouped map over a day; identity across days is a fold over days, whose state is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions.text import hamming, title_simhash, title_tokens
@@ -65,13 +66,29 @@ def day_clusters(grouped: DataFrame, trust: DataFrame) -> DataFrame:
 
 
 def near_pairs(items: DataFrame, most: int, by: list[str]) -> DataFrame:
-    """Pairs within ``most`` bits that share the keys ``by``: the pigeonhole rule finds them by equal bands, then they are checked."""
-    bands = most + 1
-    edges = [round(i * 64 / bands) for i in range(bands + 1)]
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.call_function("shiftrightunsigned", F.call_function("shiftleft", F.col("simhash"), F.lit(64 - edges[i + 1])), F.lit(64 - edges[i + 1] + edges[i])).alias("v")) for i in range(bands)])
-    b = items.select(*by, "pos", "simhash", F.explode(parts).alias("band"))
-    other = b.select(*by, F.col("pos").alias("pos_b"), F.col("simhash").alias("hash_b"), "band")
-    return b.join(other, [*by, "band"]).where((F.col("pos") < F.col("pos_b")) & (hamming(F.col("simhash"), F.col("hash_b")) <= most)).select(*by, "pos", "pos_b", hamming(F.col("simhash"), F.col("hash_b")).alias("bits")).distinct()
+    """Pairs within ``most`` bits that share the keys ``by``.
+
+    The hash is cut into blocks, of which a pair differs in two bits at most in one: each hash stands under its own
+    value of each block, and looks under all values that are so near (some hundred a block). Candidates meet by
+    equality of a block of some twenty bits and are checked.
+    """
+    blocks = most // 3 + 1
+    reach = most // blocks
+    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
+    own, near = [], []
+    for i, (low, high) in enumerate(itertools.pairwise(edges)):
+        value = F.call_function("shiftrightunsigned", F.col("simhash"), F.lit(low)).bitwiseAND(F.lit((1 << (high - low)) - 1 if high - low < 64 else -1))
+        flips = [sum(1 << b for b in bits) for r in range(reach + 1) for bits in itertools.combinations(range(high - low), r)]
+        own.append(F.struct(F.lit(i).alias("i"), value.alias("v")))
+        near.append(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), _under(i, value)))
+    held = items.select(*by, F.col("pos").alias("pos_b"), F.col("simhash").alias("hash_b"), F.explode(F.array(*own)).alias("block"))
+    asked = items.select(*by, "pos", "simhash", F.explode(F.concat(*near)).alias("block"))
+    bits = hamming(F.col("simhash"), F.col("hash_b"))
+    return asked.join(held, [*by, "block"]).where((F.col("pos") < F.col("pos_b")) & (bits <= most)).select(*by, "pos", "pos_b", bits.alias("bits")).distinct()
+
+
+def _under(i: int, value: Column) -> Callable[[Column], Column]:
+    return lambda x: F.struct(F.lit(i).alias("i"), value.bitwiseXOR(x).alias("v"))
 
 
 def near_groups(items: DataFrame, most: int) -> DataFrame:
