@@ -19,7 +19,7 @@ def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]],
 
     The slices bound what a worker holds as Python objects.
     """
-    reach(df.sparkSession)
+    small_batches(df.sparkSession)
     from pyspark.sql.types import _parse_datatype_string
 
     target = pa_schema(_parse_datatype_string(schema))
@@ -34,9 +34,18 @@ def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
-#: Rows that are Python objects at one time: texts can be long. Arrow batches are bounded by their bytes
-#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set).
+#: Rows that are Python objects at one time, and of an Arrow batch at most: texts can be long, and an executor holds
+#: several batches of each task.
 SLICE = 500
+BATCH = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH, if they aren't lower: there is no setting for one query."""
+    reach(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
 
 
 def pa_schema(struct) -> pa.Schema:
