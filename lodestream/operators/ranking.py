@@ -92,5 +92,6 @@ def related_by_tags(clusters: DataFrame, k: int = 6, horizon: int = 14) -> DataF
     jaccard = F.col("c") / (F.col("n") + F.col("m") - F.col("c"))
     near = F.greatest(1 - F.abs(F.datediff("d", "e")) / horizon, F.lit(0.0))
     scored = common.withColumn("score", jaccard * (0.6 + 0.4 * near))
-    best = Window.partitionBy("cluster_id").orderBy(F.col("score").desc(), "other")
+    # ties by nine digits: equal scores can differ in their last bits
+    best = Window.partitionBy("cluster_id").orderBy(F.round("score", 9).desc(), "other")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("cluster_id", "other", "score", "rank")

@@ -96,7 +96,7 @@ def g7_windowed_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def g8_greedy_communities(spark: SparkSession, sf: str) -> DataFrame:
-    """Communities of each window's graph."""
+    """Communities of each window's graph."""
     return gr.communities(window_edges(spark, sf), "win")
 
 
@@ -127,7 +127,7 @@ def g10_modularity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def g10_significance(spark: SparkSession, sf: str) -> DataFrame:
-    """Each window's whole graph against 200 rewired ones."""
+    """Each window's whole graph against 200 rewired ones."""
     return gr.significance(window_edges(spark, sf), "win")
 
 
@@ -136,12 +136,17 @@ def g11_top_edges(spark: SparkSession, sf: str) -> DataFrame:
     return gr.top_edges(window_edges(spark, sf), 20, ["win"])
 
 
-@query("SELECT true AS same")
+@query(
+    """WITH a AS (SELECT category AS x, md5(category) AS renamed, CASE WHEN category < '3' THEN 'both' ELSE category END AS merged FROM articles),
+n AS (SELECT count(DISTINCT x) AS x, count(DISTINCT renamed) AS r, count(DISTINCT (x, renamed)) AS xr, count(DISTINCT merged) AS m, count(DISTINCT (x, merged)) AS xm FROM a)
+SELECT 'renamed' AS labels, x = xr AND r = xr AS same FROM n UNION ALL SELECT 'merged', x = xm AND m = xm FROM n"""
+)
 def g13_same_partition(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels that are renamed one by one leave the partition as it is."""
+    """Labels that are renamed one by one leave the partition as it is; two that become one don't."""
     a = articles(spark, sf).select(F.col("id").alias("node"), F.col("category").alias("community"))
-    same = gr.same_partition(a, a.select("node", F.md5(F.col("community").cast("binary")).alias("community")))
-    return spark.createDataFrame([(same,)], "same boolean")
+    renamed = a.select("node", F.md5(F.col("community").cast("binary")).alias("community"))
+    merged = a.select("node", F.when(F.col("community") < "3", "both").otherwise(F.col("community")).alias("community"))
+    return spark.createDataFrame([("renamed", gr.same_partition(a, renamed)), ("merged", gr.same_partition(a, merged))], "labels string, same boolean")
 
 
 # --- clustering and identity --------------------------------------------------------------------------------------

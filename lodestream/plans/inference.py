@@ -45,7 +45,7 @@ def m2_burst_days(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_SHIFT}, c AS (SELECT entity, category, count(*) AS d FROM s GROUP BY ALL) SELECT entity, category FROM shifts JOIN c USING (entity, category) WHERE shift > 0 AND sse_reduction >= 0.1 AND d >= 8")
 def m3_take_offs(spark: SparkSession, sf: str) -> DataFrame:
-    """M3, M22 with a threshold that monthly series can meet."""
+    """M3 with a threshold that monthly series can meet."""
     s = _monthly(spark, sf)
     shifts = inf.level_shift(s, ["entity", "category"], "day", "n").join(s.groupBy("entity", "category").agg(F.count("*").alias("d")), ["entity", "category"])
     return inf.take_offs(shifts, F.col("d"), 8, 0.1).select("entity", "category")
@@ -219,7 +219,7 @@ d AS (SELECT label, i, avg(v[i]) AS x FROM nv, range(1, 65) r(i) GROUP BY ALL),
 
 @query(f"WITH {_PROTO} SELECT vec_id, label, round(list_cosine_similarity(v, p), 6) AS score FROM nv JOIN pr USING (label)")
 def v4_prototype_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """V4, M23."""
+    """V4."""
     e = table(spark, sf, "embeddings")
     return vec.prototype_scores(e, vec.prototypes(e, "label", "embedding"), "label", "embedding").select("vec_id", "label", F.round("score", 6).alias("score"))
 
