@@ -12,10 +12,11 @@ corpus, can go without a seed, as many as leave a leak MET seeds or all that it
 with fewer of an item's seeds is out, and a place around seeds is aligned if it has pairs enough of the item, common
 ones counted too. What is found is what alignments of all texts with all items would find.
 
-The texts are read twice, once to count the items' pairs and once to find and align seeds; nothing but the counts and
-the leaks leaves a task, and nothing is joined within a group of documents, so copies and common passages cost what
-their rows cost. The test items go to the tasks in parts of PART_CHARS characters, so that what is sent is bounded
-whatever the benchmark's size, at two passes over the texts for each part.
+The texts are read once: their words are written as numbers (two bytes a word for vocabularies of items that fit), with
+the counts of the items' pairs; from these the seeds are chosen, and the numbers are searched and aligned. Nothing is
+joined within a group of documents, so copies and common passages cost what their rows cost. The test items go to the
+tasks in parts of PART_CHARS characters, so that what is sent is bounded whatever the benchmark's size, at a pass over
+the texts for each part.
 
 Defined results: items whose words are equal count once, under their least id; an item of one word leaks into texts
 that are this word and nothing else; items without words, and null items, leak nowhere; null texts hold nothing; for a
@@ -121,6 +122,24 @@ class Items:
         if len(starts) > 1:
             yield np.array(numbers, dtype=np.int64), np.array(starts)
 
+    @property
+    def kind(self) -> str:
+        """What a written word takes: its number from one, zero for those of no item."""
+        return "<u2" if len(self.vocabulary) < (1 << 16) - 1 else "<u4"
+
+    def written_blocks(self, rows: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same blocks from written words."""
+        parts, starts, gap = [], [0], np.full(2, -1, dtype=np.int64)
+        for row in rows:
+            w = np.frombuffer(row, dtype=self.kind).astype(np.int64) - 1
+            parts += (w, gap)
+            starts.append(starts[-1] + len(w) + 2)
+            if starts[-1] >= BLOCK:
+                yield np.concatenate(parts), np.array(starts)
+                parts, starts = [], [0]
+        if parts:
+            yield np.concatenate(parts), np.array(starts)
+
     def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and numbers of the items' pairs in numbered words, by place."""
         places, pairs = [], []
@@ -219,22 +238,44 @@ def align(items: Items, seeds: Seeds, w: np.ndarray, starts: np.ndarray) -> list
     return out
 
 
-def pair_counts(df: DataFrame, items: Items, text_col: str) -> np.ndarray:
-    """How often each pair of the items stands in the texts; a task returns a row for each pair that it has met."""
+def numbered(df: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
+    """(id, words) of the texts that have pairs enough for the least item, and (pair, n) counts of the pairs of all texts.
+
+    A task ends with a row for each pair that it has met.
+    """
     small_batches(df.sparkSession)
-    n_pairs = len(items.pairs)
+    n_pairs, fewest = len(items.pairs), min((least_pairs(len(w)) for w in items.words), default=1 << 62)
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+
+    def batch_of(*columns: list | np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["id", "words", "pair", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_pairs, dtype=np.int64)
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                for w, _ in items.blocks(batch.column(0).slice(start, SLICE).to_pylist()):
-                    total += np.bincount(items.hits(w)[1], minlength=n_pairs)
+            for first in range(0, batch.num_rows, SLICE):
+                part, before = batch.slice(first, SLICE), 0
+                ids = part.column(0).to_pylist()
+                for w, starts in items.blocks(part.column(1).to_pylist()):
+                    at, pairs = items.hits(w)
+                    total += np.bincount(pairs, minlength=n_pairs)
+                    enough = np.diff(np.searchsorted(at, starts)) >= fewest
+                    if items.single:
+                        enough |= np.diff(starts) == 3
+                    keep, code = np.flatnonzero(enough).tolist(), (w + 1).astype(items.kind)
+                    none = [None] * len(keep)
+                    yield batch_of([ids[before + t] for t in keep], [code[starts[t] : starts[t + 1] - 2].tobytes() for t in keep], none, none)
+                    before += len(starts) - 1
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["pair", "n"])
+        none = [None] * len(seen)
+        yield batch_of(none, none, seen, total[seen])
+
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, words binary, pair bigint, n bigint")
+
 
-    found = df.select(F.col(text_col).alias("text")).mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(n_pairs, dtype=np.int64)  # a row for each pair of the part's items, at most
+def pair_counts(held: DataFrame, items: Items) -> np.ndarray:
+    found = held.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # a row for each pair of the part's items, at most
+    counts = np.zeros(len(items.pairs), dtype=np.int64)
     counts[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return counts
 
@@ -258,20 +299,20 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _part_leaks(df: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
-    seeds = Seeds(items, pair_counts(df, items, text_col))
+    held = cut(numbered(df, items, id_col, text_col), "leak-words")
+    seeds = Seeds(items, pair_counts(held, items))
 
     def rows(c: dict) -> dict:
         out: dict[str, list] = {"id": [], "item_id": [], "score": [], "start_word": [], "end_word": []}
         before = 0
-        for w, starts in items.blocks(c["text"]):
+        for w, starts in items.written_blocks(c["words"]):
             for t, *leak in align(items, seeds, w, starts):
                 for name, value in zip(out, (c["id"][before + t], *leak), strict=True):
                     out[name].append(value)
             before += len(starts) - 1
         return out
 
-    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return arrow_map(own, rows, "id bigint, item_id bigint, score double, start_word bigint, end_word bigint")
+    return arrow_map(held.where("words IS NOT NULL").select("id", "words"), rows, "id bigint, item_id bigint, score double, start_word bigint, end_word bigint")
 
 
 def remove_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
