@@ -347,10 +347,10 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             points = f["fp"].to_numpy(np.int64).view(np.uint64)
-            for tree in trees:
-                for shard, at, home in placed(tree, points):
-                    if len(at):
-                        yield pd.DataFrame({"shard": shard, "fp": points[at].view(np.int64), "home": home})
+            found = [x for tree in trees for x in placed(tree, points) if len(x[0])]
+            if found:  # one frame for all shards: there are many, and a frame costs more than its few rows
+                shard, at, home = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pd.DataFrame({"shard": shard, "fp": points[at].view(np.int64), "home": home})
 
     def link(f: pd.DataFrame) -> pd.DataFrame:
         a, b = shard_links(f["fp"].to_numpy(np.int64).view(np.uint64), f["home"].to_numpy(bool))
