@@ -238,7 +238,8 @@ _BRIEF = "r AS (SELECT entity, count(*) FILTER ((SELECT max(day) FROM mentions)
 def s34_brief(spark: SparkSession, sf: str) -> DataFrame:
     """The brief's gainers as lines; the file is replaced as one and read again."""
     top = ts.recent_vs_prior(mentions(spark, sf), ["entity"]).orderBy(F.col("delta").desc(), F.col("recent").desc(), "entity").limit(8)
-    line = F.concat(F.lit("- "), "entity", F.lit(": "), F.col("recent").cast("string"), F.lit(" ("), T.signed(F.col("delta")), F.lit(")"))
+    signed = F.when(F.col("delta") == 0, "0").otherwise(T.signed(F.col("delta")))  # no sign where nothing changed
+    line = F.concat(F.lit("- "), "entity", F.lit(": "), F.col("recent").cast("string"), F.lit(" ("), signed, F.lit(")"))
     rows = rp.lines(top, [F.col("delta").desc(), F.col("recent").desc(), F.col("entity")], line, ["# Brief", ""])
     path = f"{_root(spark, 'brief')}/brief.md"
     for said in ("old text", "\n".join(r["line"] for r in rows.orderBy("n").collect())):  # ten lines

@@ -7,6 +7,8 @@ from pathlib import Path
 import pytest
 from test_oracle import SF, TABLES, compare, database
 
+import __spark_entry__ as entry
+
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables")
 
 
@@ -24,3 +26,13 @@ def tables(at: Path, **own: str) -> Path:
 def test_long_keys_make_well_formed_ids(spark, tmp_path) -> None:
     sf = tables(tmp_path, part="SELECT * REPLACE (CASE WHEN p_partkey <> 7 THEN p_partkey * 5000001 END AS p_partkey) FROM part")
     compare(spark, database(sf), sf, "c9_integrity")
+
+
+def test_a_brief_has_no_sign_where_nothing_changed(spark, tmp_path) -> None:
+    orders = "SELECT o.* REPLACE (i AS o_orderkey, TIMESTAMP '1995-01-01' + to_days(i::INT) AS o_orderdate) FROM range(14) r(i), (SELECT * FROM orders LIMIT 1) o"
+    lineitem = "SELECT l.* REPLACE (i AS l_orderkey, p_partkey AS l_partkey) FROM range(14) r(i), part, (SELECT * FROM lineitem LIMIT 1) l WHERE p_partkey < 40 OR i = 10 AND p_partkey < 43"
+    sf = tables(tmp_path, orders=orders, lineitem=lineitem)
+    con = database(sf)
+    sql = entry.oracle_sql()["s34_brief"]
+    assert con.execute(f"SELECT count(*) FROM ({sql}) WHERE line LIKE '%(0)'").fetchone()[0]
+    compare(spark, con, sf, "s34_brief")
