@@ -9,53 +9,94 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors that go to the tasks at one time, at most.
-SENT_BYTES = 32 << 20
+from lodestream.session import cut
+
+#: Bytes of query vectors that go to the tasks at one time, at most; queries and candidates that are multiplied at one time.
+SENT_BYTES, ROWS, COLUMNS = 32 << 20, 1024, 4096
 
 
 def cosine_top_k(vectors: DataFrame, k: int = 8, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Each vector's k nearest others by cosine, negative ones dropped after the cut, four digits.
 
-    Rows are normalised (a zero norm counts as one), in double precision. Blocks of vectors of bounded size go to the tasks, which
-    multiply them with the rows they hold and keep k for each query: candidates stay where they are, and from a task
-    come k rows for each query.
+    Equal vectors ask once, and the first k + 1 of them are candidates: a copy has the others' nearest without itself.
+    Blocks of queries of bounded size go to the tasks, which multiply them tile by tile in single precision with the
+    rows they hold; what can be among the nearest by that product's error is scored in double precision, in the order
+    of components, so that ties are those of the SQL (a zero norm counts as one). A task gives k + 1 rows a query at most.
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    stats = own.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    first = own.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("nth") <= k + 1)
+    held = cut(first.repartition(spark.sparkContext.defaultParallelism), "vectors")
+    asked = held.where("nth = 1").select("id", "v")
+    stats = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     n, dim = stats["n"], stats["dim"] or 1
     parts, out = max(1, -(-n * dim * 8 // SENT_BYTES)), None
     for part in range(parts):
-        block = (own if parts == 1 else own.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)).toPandas()
-        sent = spark.sparkContext.broadcast((block["id"].to_numpy(np.int64), _normal(block["v"])))
+        block = (asked if parts == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)).toPandas()
+        sent = spark.sparkContext.broadcast((block["id"].to_numpy(np.int64), _matrix(block["v"])))
 
         def best(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             ids, q = sent.value
-            score, near = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
-            for f in frames:
-                if not len(f) or not len(ids):
-                    continue
-                c, at = _normal(f["v"]), f["id"].to_numpy(np.int64)
-                s = q @ c.T
-                s[ids[:, None] == at[None, :]] = -np.inf
-                score = np.concatenate([score, s], axis=1)
-                near = np.concatenate([near, np.broadcast_to(at, s.shape)], axis=1)
-                keep = np.lexsort((near, -score), axis=1)[:, :k]
-                score, near = np.take_along_axis(score, keep, axis=1), np.take_along_axis(near, keep, axis=1)
-            fine = np.isfinite(score)
-            yield pd.DataFrame({"id": np.repeat(ids, score.shape[1])[fine.ravel()], "neighbour": near[fine], "score": score[fine].astype(float)})
-
-        found = own.mapInPandas(best, "id bigint, neighbour bigint, score double")
-        out = found if out is None else out.unionByName(found)
-    w = Window.partitionBy("id").orderBy(F.col("score").desc(), "neighbour")
-    top = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.where(F.col("score") >= 0).select("id", "neighbour", F.round("score", 4).alias("score"), "rank")
+            yield from _nearest(ids, q, frames, k + 1)
 
-
-def _normal(rows: pd.Series) -> np.ndarray:
-    m = np.array(rows.tolist(), dtype=np.float64)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norm == 0, 1, norm)
+        found = held.select("id", "v").mapInPandas(best, "rep bigint, neighbour bigint, score double")
+        out = found if out is None else out.unionByName(found)
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.col("score").desc(), "neighbour"))
+    near = out.withColumn("place", place).where(F.col("place") <= k + 1)
+    of = near.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("place", "neighbour", "score"))).alias("near"))  # k + 1 at most
+    reps = own.join(asked.withColumnRenamed("id", "rep"), "v").select("id", "rep")
+    others = reps.join(of, "rep").select("id", F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("id")), 1, k).alias("near"))
+    top = others.select("id", F.posexplode("near").alias("at", "x"))
+    return top.select("id", F.col("x.neighbour").alias("neighbour"), F.round("x.score", 4).alias("score"), (F.col("at") + 1).alias("rank"))
+
+
+def _matrix(rows: pd.Series) -> np.ndarray:
+    return np.array(rows.tolist(), dtype=np.float64).reshape(len(rows), -1)
+
+
+def _parts(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit rows in single precision; components, one after another; squared norms, added up in their order."""
+    columns, square = np.ascontiguousarray(m.T), np.zeros(len(m))
+    for x in columns:
+        square += x * x
+    norm = np.sqrt(square)
+    return (m / np.where(norm == 0, 1, norm)[:, None]).astype(np.float32), columns, square
+
+
+def _nearest(ids: np.ndarray, q: np.ndarray, frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Of each query the ``most`` nearest rows of ``frames`` by (score, id), itself included, negative ones left out."""
+    tiles = [_parts(q[i : i + ROWS]) for i in range(0, len(ids), ROWS)]
+    none = lambda kind: np.zeros(0, dtype=kind)
+    kept = [(none(np.int64), none(np.float64), none(np.int64)) for _ in tiles]  # query, score, id
+    least = [np.zeros(len(t[0])) for t in tiles]
+    # twice what rounding does to a product of unit rows: dim additions and products, and either row's own rounding
+    slack = 2 * (q.shape[1] + 4) * 2.0**-23
+    for f in frames:
+        for j in range(0, len(f), COLUMNS):
+            at, c = f["id"].to_numpy(np.int64)[j : j + COLUMNS], _parts(_matrix(f["v"].iloc[j : j + COLUMNS]))
+            for t, tile in enumerate(tiles):
+                near = tile[0] @ c[0].T
+                hit = near >= (least[t] - slack).astype(np.float32)[:, None]
+                if len(at) > most and np.count_nonzero(hit) > 4 * most * len(near):
+                    hit &= near >= (np.partition(near, -most, axis=1)[:, -most] - np.float32(slack))[:, None]
+                row, col = np.nonzero(hit)
+                if not len(row):
+                    continue
+                dot = np.zeros(len(row))
+                for x, y in zip(tile[1], c[1], strict=True):
+                    dot += x[row] * y[col]
+                base = np.sqrt(tile[2][row] * c[2][col])
+                score = np.clip(dot / np.where(base == 0, 1, base), -1, 1)
+                fine = score >= 0
+                row, score, near_id = (np.concatenate([a, b[fine]]) for a, b in zip(kept[t], (row, score, at[col]), strict=True))
+                order = np.lexsort((near_id, -score, row))
+                row, score, near_id = row[order], score[order], near_id[order]
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
+                full = nth == most - 1
+                least[t][row[full]] = score[full]
+                kept[t] = tuple(a[nth < most] for a in (row, score, near_id))
+    for t, (row, score, near_id) in enumerate(kept):
+        yield pd.DataFrame({"rep": ids[t * ROWS + row], "neighbour": near_id, "score": score})
 
 
 def normalised(vectors: DataFrame, vector: str) -> DataFrame:
@@ -77,10 +118,12 @@ def prototype_scores(vectors: DataFrame, protos: DataFrame, key: str, vector: st
     return joined.withColumn("score", dot)
 
 
-def related_clusters(neighbours: DataFrame, cluster_of: DataFrame, k: int = 6) -> DataFrame:
-    """Of each cluster the other clusters with their best neighbour score."""
+def related_clusters(neighbours: DataFrame, cluster_of: DataFrame, k: int | None = 6) -> DataFrame:
+    """Of each cluster the other clusters with their best neighbour score: k of them, or all."""
     a = neighbours.join(cluster_of.select(F.col("id"), F.col("cluster").alias("cluster")), "id")
     b = a.join(cluster_of.select(F.col("id").alias("neighbour"), F.col("cluster").alias("other")), "neighbour").where("cluster <> other")
     best = b.groupBy("cluster", "other").agg(F.max("score").alias("score"))
+    if k is None:
+        return best
     w = Window.partitionBy("cluster").orderBy(F.col("score").desc(), "other")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -232,7 +232,7 @@ def v3_related_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """All related clusters of each cluster."""
     e = table(spark, sf, "embeddings")
     near = vec.cosine_top_k(e)
-    return vec.related_clusters(near, e.select(F.col("vec_id").alias("id"), F.col("label").alias("cluster")), 1000).select("cluster", "other", "score")
+    return vec.related_clusters(near, e.select(F.col("vec_id").alias("id"), F.col("label").alias("cluster")), None).select("cluster", "other", "score")
 
 
 @query(

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tracemalloc
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pytest
 from test_oracle import SF, TABLES, compare, database
 
 import __spark_entry__ as entry
+from lodestream.operators import vectors as vec
 
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables")
 
@@ -36,3 +40,31 @@ def test_a_brief_has_no_sign_where_nothing_changed(spark, tmp_path) -> None:
     sql = entry.oracle_sql()["s34_brief"]
     assert con.execute(f"SELECT count(*) FROM ({sql}) WHERE line LIKE '%(0)'").fetchone()[0]
     compare(spark, con, sf, "s34_brief")
+
+
+def test_near_vectors_are_multiplied_in_tiles() -> None:
+    m = np.random.default_rng(1).normal(size=(6000, 16))
+    m[:50], m[50], m[100:200] = m[3], 0, np.round(m[100:200])
+    f = pd.DataFrame({"id": np.arange(6000) * 3, "v": list(m.astype(np.float32))})
+    q = vec._matrix(f["v"])
+    tracemalloc.start()
+    got = pd.concat(vec._nearest(f["id"].to_numpy(), q, iter([f[:10], f[10:]]), 9))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6000 * 6000 * 4, "all products were held at a time"
+    unit = q / np.where((norm := np.linalg.norm(q, axis=1)) == 0, 1, norm)[:, None]
+    by = {i: g for i, g in got.groupby("rep")}
+    for i in (0, 3, 49, 50, 51, 150, 5999):
+        score = unit @ unit[i]
+        want = -np.sort(-score)[:9]
+        assert by[3 * i]["score"].to_numpy() == pytest.approx(want[want >= 0], abs=1e-12)
+        assert by[3 * i]["neighbour"].is_unique
+    assert by[0]["neighbour"].tolist() == list(range(0, 27, 3))
+
+
+@pytest.mark.parametrize("name", ["v2_cosine_top_k", "v3_related_clusters"])
+def test_copies_and_many_clusters_of_vectors(spark, tmp_path, name: str) -> None:
+    at = "[cos(i / 800), sin(i / 800), 0.25]::FLOAT[]"
+    own = f"SELECT 2 * i AS vec_id, {at} AS embedding, 0 AS label FROM range(1100) r(i) UNION ALL SELECT 2 * i + 1, {at}, i::INT + 1 FROM range(1100) r(i) UNION ALL SELECT 5000 + i, {at.replace('i', '7').replace('s7n', 'sin')}, 1 FROM range(40) r(i)"
+    sf = tables(tmp_path, embeddings=own)
+    compare(spark, database(sf), sf, name)
