@@ -109,18 +109,22 @@ def s12_database_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id::VARCHAR AS id, ts::DATE AS day FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND event_type IN ('view', 'purchase')")
 def s13_harvest(spark: SparkSession, sf: str) -> DataFrame:
     """Events as a service's pages; the harvest stops after two pages and is taken up again from its progress."""
-    root, size = _root(spark, "harvest"), 5_000
-    record = F.format_string("<record><id>%d</id><title> T  %d</title><created>%s</created><categories>%s x.%s</categories></record>", "event_id", "event_id", F.to_date("ts").cast("string"), "event_type", "event_type")
-    pages = table(spark, sf, "events").select(F.floor(F.col("event_id") / size).alias("p"), record.alias("r")).groupBy("p").agg(F.concat_ws("", F.collect_list("r")).alias("xml"))
-    pages.write.parquet(f"{root}/service")
+    root, size, ahead = _root(spark, "harvest"), 5_000, 32
+    day = F.coalesce(F.to_date("ts").cast("string"), F.lit(""))
+    record = F.format_string("<record><id>%d</id><title> T  %d</title><created>%s</created><categories>%s x.%s</categories></record>", "event_id", "event_id", day, "event_type", "event_type")
+    rows = table(spark, sf, "events").select(F.floor(F.col("event_id") / size).alias("p"), record.alias("r")).repartitionByRange("p")
+    rows.groupBy("p").agg(F.concat_ws("", F.collect_list("r")).alias("xml")).sortWithinPartitions("p").write.parquet(f"{root}/service")
     served = spark.read.schema("p bigint, xml string").parquet(f"{root}/service")
-    last = served.agg(F.max("p")).first()[0]
+    numbers = [r["p"] for r in served.where("p IS NOT NULL").select("p").orderBy("p").collect()]  # one for each page
+    place, held = {p: i for i, p in enumerate(numbers)}, {}
 
     def fetch(token: str | None) -> str:
-        n = int(token or 0)
-        row = served.where(F.col("p") == n).first()
-        more = f"<resumptionToken>{n + 1}</resumptionToken>" if last is not None and n < last else "<resumptionToken/>"
-        return f"<ListRecords>{row['xml'] if row else ''}{more}</ListRecords>"
+        i = place[int(token)] if token else 0
+        if numbers and numbers[i] not in held:  # the service reads some pages ahead
+            held.clear()
+            held.update(served.where(F.col("p").between(numbers[i], numbers[min(i + ahead, len(numbers)) - 1])).collect())
+        more = f"<resumptionToken>{numbers[i + 1]}</resumptionToken>" if i + 1 < len(numbers) else "<resumptionToken/>"
+        return f"<ListRecords>{held[numbers[i]] if numbers else ''}{more}</ListRecords>"
 
     bf.harvest(spark, fetch, root, most_pages=2)
     bf.harvest(spark, fetch, root)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import sqlite3
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -13,33 +15,41 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from lodestream.functions.text import url_hash
 from lodestream.operators.ledger import match_aliases
 from lodestream.session import read_text, write_text_atomic
-from lodestream.sources.feeds import harvest_window, paper_pages
+from lodestream.sources.feeds import RECORD, harvest_window, next_token, paper_record
 
 RECORDS = "id string, title string, created string, categories array<string>"
 
 
 def harvest(spark: SparkSession, fetch: Callable[[str | None], str], root: str, most_pages: int | None = None) -> dict:
-    """Pages from ``fetch(token)`` one after another, as tokens follow from pages; records go to ``root``/pages/page=n.
+    """Pages from ``fetch(token)`` one after another, as tokens follow from pages; they go whole to ``root``/pages/page-n.xml.
 
     The progress (token, pages, seen, done) is replaced after each page has been written, so a run that stops anywhere
-    goes on with the page that it hadn't noted, which overwrites itself. What is held is one page.
+    goes on with the page that it hadn't noted, which overwrites itself. What is held is one page; only its token and
+    the number of its records are looked up here, the rest is left to the tasks that read it (``harvested``).
     """
     said = read_text(spark, f"{root}/progress.json")
     state = json.loads(said) if said else {"token": None, "pages": 0, "seen": 0, "done": False}
     taken = 0
     while not state["done"] and (most_pages is None or taken < most_pages):
-        records, token = paper_pages(fetch(state["token"]))
-        rows = [(r["id"], r["title"], r["created"], r["categories"]) for r in records]
-        spark.createDataFrame(rows, RECORDS).coalesce(1).write.mode("overwrite").parquet(f"{root}/pages/page={state['pages']}")
-        state = {"token": token, "pages": state["pages"] + 1, "seen": state["seen"] + len(records), "done": token is None}
+        content = fetch(state["token"])
+        write_text_atomic(spark, f"{root}/pages/page-{state['pages']}.xml", content)
+        token, found = next_token(content), sum(1 for _ in re.finditer(RECORD, content, re.S))
+        state = {"token": token, "pages": state["pages"] + 1, "seen": state["seen"] + found, "done": token is None}
         write_text_atomic(spark, f"{root}/progress.json", json.dumps(state))
         taken += 1
     return state
 
 
+def _records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield pd.DataFrame(list(map(paper_record, f["r"])), columns=["id", "title", "created", "categories"])
+
+
 def harvested(spark: SparkSession, root: str, first: str, last: str, tracked: list[str]) -> DataFrame:
-    """The harvested records of a window of days in a tracked category, each id once."""
-    rows = spark.read.schema(RECORDS).parquet(f"{root}/pages/*").withColumn("day", F.to_date("created"))
+    """The harvested records of a window of days in a tracked category, each id once; a record without a day is in no window."""
+    pages = spark.read.text(f"{root}/pages/*.xml", wholetext=True)  # not what an interrupted write has left
+    records = pages.select(F.explode(F.regexp_extract_all("value", F.lit(f"(?s){RECORD}"))).alias("r"))
+    rows = records.mapInPandas(_records, RECORDS).withColumn("day", F.try_to_date("created"))
     return harvest_window(rows, first, last, tracked).dropDuplicates(["id"])
 
 

@@ -164,11 +164,21 @@ def english_corpus(bodies: DataFrame, articles: DataFrame) -> DataFrame:
     return joined.select("url_hash", F.coalesce("text", "teaser").alias("text"), F.when(F.col("text").isNull(), "teaser").otherwise("body").alias("kind")).where("text <> ''")
 
 
+RECORD = r"<record>(.*?)</record>"
+
+
+def paper_record(r: str) -> dict:
+    """The fields of one record of a harvest page."""
+    get = lambda tag: (m[1].strip() if (m := re.search(rf"<{tag}[^>]*>(.*?)</{tag}>", r, re.S)) else None)
+    return {"id": get("id"), "title": " ".join((get("title") or "").split()), "created": get("created"), "categories": (get("categories") or "").split()}
+
+
+def next_token(content: str) -> str | None:
+    """The token to go on with."""
+    token = re.search(r"<resumptionToken[^>]*>([^<]+)</resumptionToken>", content)
+    return token[1] if token else None
+
+
 def paper_pages(content: str) -> tuple[list[dict], str | None]:
     """Records of a harvest page and the token to go on with."""
-    token = re.search(r"<resumptionToken[^>]*>([^<]+)</resumptionToken>", content)
-    records = []
-    for r in re.findall(r"<record>(.*?)</record>", content, re.S):
-        get = lambda tag, r=r: (m[1].strip() if (m := re.search(rf"<{tag}[^>]*>(.*?)</{tag}>", r, re.S)) else None)
-        records.append({"id": get("id"), "title": " ".join((get("title") or "").split()), "created": get("created"), "categories": (get("categories") or "").split()})
-    return records, token[1] if token else None
+    return [paper_record(r) for r in re.findall(RECORD, content, re.S)], next_token(content)

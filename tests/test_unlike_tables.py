@@ -12,6 +12,7 @@ from test_oracle import SF, TABLES, compare, database
 
 import __spark_entry__ as entry
 from lodestream.operators import vectors as vec
+from lodestream.sources import backfill as bf
 
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables")
 
@@ -68,3 +69,22 @@ def test_copies_and_many_clusters_of_vectors(spark, tmp_path, name: str) -> None
     own = f"SELECT 2 * i AS vec_id, {at} AS embedding, 0 AS label FROM range(1100) r(i) UNION ALL SELECT 2 * i + 1, {at}, i::INT + 1 FROM range(1100) r(i) UNION ALL SELECT 5000 + i, {at.replace('i', '7').replace('s7n', 'sin')}, 1 FROM range(40) r(i)"
     sf = tables(tmp_path, embeddings=own)
     compare(spark, database(sf), sf, name)
+
+
+def test_a_harvest_starts_no_jobs_for_its_pages(spark, tmp_path) -> None:
+    page = lambda n: f"<record><id>{n}</id><created></created><categories>a</categories></record><record><id>x{n}</id><created>2024-01-02</created><categories>a</categories></record><resumptionToken>{n + 1 if n < 29 else ''}</resumptionToken>"
+    root = str(tmp_path / "h")
+    try:
+        spark.sparkContext.setJobGroup("harvest", "pages")
+        state = bf.harvest(spark, lambda token: page(int(token or 0)), root)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("harvest")) < 5
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert state == {"token": None, "pages": 30, "seen": 60, "done": True}
+    (tmp_path / "h/pages/page-3.xml.left").write_text(page(40))
+    assert {r["id"] for r in bf.harvested(spark, root, "2024-01-01", "2024-01-03", ["a"]).collect()} == {f"x{n}" for n in range(30)}
+
+
+def test_a_harvest_of_ids_with_gaps_and_rows_without_a_day(spark, tmp_path) -> None:
+    sf = tables(tmp_path, events="SELECT * REPLACE (event_id + event_id % 3 * 1000000000000 AS event_id, CASE WHEN event_id % 5 > 0 THEN ts END AS ts) FROM events")
+    compare(spark, database(sf), sf, "s13_harvest")
