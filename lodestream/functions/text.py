@@ -36,10 +36,35 @@ def char_grams(title: Column, n: int = 3) -> Column:
     return bound(F.replace(normalize(title), F.lit(" "), F.lit("")), grams)
 
 
-def _majority(features: list[str]) -> int:
-    low = np.frombuffer(b"".join(hashlib.md5(f.encode()).digest()[8:] for f in features), dtype=">u8").astype("<u8")
-    bits = np.unpackbits(low.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(bits * 2 > len(features), bitorder="little").view("<i8")[0])
+def _low(feature: str) -> bytes:
+    return hashlib.md5(feature.encode()).digest()[:7:-1]
+
+
+def _majority(lows: list[bytes], counts: np.ndarray) -> int:
+    bits = np.unpackbits(np.frombuffer(b"".join(lows), dtype=np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(counts.astype(np.float64) @ bits * 2 > counts.sum(), bitorder="little").view("<i8")[0])
+
+
+#: The hashes of trigrams that a worker has met; emptied when it is full.
+_GRAMS: dict[int, bytes] = {}
+_MOST_GRAMS = 1 << 18
+
+
+def _gram_majority(s: str) -> int:
+    """Each distinct trigram of a text is looked up once and counts as often as it is there."""
+    if len(s) <= 3:
+        return _majority([_low(s)], np.ones(1))
+    c = np.frombuffer(s.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    keys, counts = np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:], return_counts=True)
+    if len(_GRAMS) + len(keys) > _MOST_GRAMS:
+        _GRAMS.clear()
+    lows = []
+    for k in keys.tolist():
+        low = _GRAMS.get(k)
+        if low is None:
+            low = _GRAMS[k] = _low(chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF))
+        lows.append(low)
+    return _majority(lows, counts)
 
 
 @F.pandas_udf(LongType())
@@ -49,12 +74,12 @@ def simhash64(features: pd.Series) -> pd.Series:
     A column expression for this folds 64 counters in boxed arrays and took half a second a row on long texts.
     """
     # Int64: a null would turn the others to floats, which lose their low bits
-    return pd.Series([None if fs is None else _majority(list(fs)) for fs in features], dtype="Int64")
+    return pd.Series([None if fs is None else _majority([_low(f) for f in fs], np.ones(len(fs))) for fs in features], dtype="Int64")
 
 
 @F.pandas_udf(LongType())
 def _gram_simhash(bare: pd.Series) -> pd.Series:
-    return pd.Series([None if s is None else _majority([s[i : i + 3] for i in range(max(1, len(s) - 2))]) for s in bare], dtype="Int64")
+    return pd.Series([None if s is None else _gram_majority(s) for s in bare], dtype="Int64")
 
 
 def title_simhash(title: Column) -> Column:

@@ -1,7 +1,8 @@
-"""Queries against their SQL on tables that the small ones don't resemble: long keys, ties, copies."""
+"""Queries and their operators against their SQL on tables that the small ones don't resemble: long keys, ties, copies."""
 
 from __future__ import annotations
 
+import hashlib
 import tracemalloc
 from pathlib import Path
 
@@ -11,6 +12,7 @@ import pytest
 from test_oracle import SF, TABLES, compare, database
 
 import __spark_entry__ as entry
+from lodestream.functions import text as T
 from lodestream.operators import vectors as vec
 from lodestream.sources import backfill as bf
 
@@ -88,3 +90,17 @@ def test_a_harvest_starts_no_jobs_for_its_pages(spark, tmp_path) -> None:
 def test_a_harvest_of_ids_with_gaps_and_rows_without_a_day(spark, tmp_path) -> None:
     sf = tables(tmp_path, events="SELECT * REPLACE (event_id + event_id % 3 * 1000000000000 AS event_id, CASE WHEN event_id % 5 > 0 THEN ts END AS ts) FROM events")
     compare(spark, database(sf), sf, "s13_harvest")
+
+
+def test_a_simhash_looks_each_trigram_up_once(monkeypatch) -> None:
+    rng, calls, md5 = np.random.default_rng(4), [], hashlib.md5
+    texts = ["", "a", "abc", "abcd", "가나다라마 가나다", "".join(rng.choice(list("ab가나"), 4000))]
+    want = []
+    for s in texts:
+        grams = [s[i : i + 3] for i in range(max(1, len(s) - 2))]
+        low = [int.from_bytes(md5(g.encode()).digest()[8:], "big") for g in grams]
+        h = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in low) > len(low))
+        want.append(h - (1 << 64) if h >> 63 else h)
+    monkeypatch.setattr(hashlib, "md5", lambda x: calls.append(x) or md5(x))
+    assert T._gram_simhash.func(pd.Series([*texts, None])).tolist()[:-1] == want
+    assert len(calls) <= 4 ** 3 + 12
