@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,10 +73,20 @@ def _files(spark: SparkSession, path: str):  # noqa: ANN202
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later stages start from files, not from lineage."""
+    return written(df, name)[0]
+
+
+def written(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``cut``, and what deletes its files when nothing reads them any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+
+    def drop() -> None:
+        fs, at = _files(spark, path)
+        fs.delete(at(path), True)
+
+    return spark.read.schema(df.schema).parquet(path), drop
 
 
 def reach(spark: SparkSession) -> SparkSession:

@@ -65,6 +65,32 @@ def test_near_vectors_are_multiplied_in_tiles() -> None:
     assert by[0]["neighbour"].tolist() == list(range(0, 27, 3))
 
 
+def test_pairs_of_near_copies_are_scored_in_parts() -> None:
+    m = 1 + np.random.default_rng(2).normal(size=(vec.COLUMNS, 8)) * 1e-7
+    f = pd.DataFrame({"id": np.arange(len(m)), "v": list(m)})
+    q = vec._matrix(f["v"].iloc[: vec.ROWS])
+    tracemalloc.start()
+    got = pd.concat(vec._nearest(np.arange(vec.ROWS), q, iter([f]), 9))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * vec.ROWS * vec.COLUMNS, "all pairs were scored at a time"
+    assert (got.groupby("rep").size() == 9).all()
+
+
+def test_one_block_of_vectors_is_held_and_a_query_keeps_its_nearest(spark, tmp_path, monkeypatch) -> None:
+    monkeypatch.setattr(vec, "SENT_BYTES", 64 * 8 * 90)  # six blocks
+    sent, states = [], []
+    broadcast, parquet = spark.sparkContext.broadcast, type(spark.range(1).write).parquet
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(broadcast(x)) or sent[-1])
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, path, *a, **b: states.append(path) or parquet(self, path, *a, **b))
+    compare(spark, database(SF), SF, "v3_related_clusters")
+    assert len(sent) == 6
+    assert [Path(b._path).exists() for b in sent] == [False] * 5 + [True], "blocks were held at the same time"
+    nearest = [x for x in states if "/nearest-" in x]
+    assert len(nearest) == 5
+    assert [Path(x).exists() for x in nearest] == [False] * 4 + [True]
+
+
 @pytest.mark.parametrize("name", ["v2_cosine_top_k", "v3_related_clusters"])
 def test_copies_and_many_clusters_of_vectors(spark, tmp_path, name: str) -> None:
     at = "[cos(i / 800), sin(i / 800), 0.25]::FLOAT[]"
